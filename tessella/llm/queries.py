@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import table
 from tessella.llm.linededup import dedup_lines
+from tessella.llm.mixing import mix
 from tessella.llm.packing import pack
 from tessella.llm.tokens import token_counts
 
@@ -43,6 +44,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), size=2048, end_id=1, keep_ids=False)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), cut_last=True).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
 
@@ -51,6 +56,7 @@ def queries() -> dict[str, Query]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
+        "op4_mixing": op4_mixing,
         "op7_token_counts": op7_token_counts,
     }
 
