@@ -13,6 +13,7 @@ from tessella.llm.linededup import dedup_lines
 from tessella.llm.mixing import mix
 from tessella.llm.packing import pack
 from tessella.llm.tokens import token_counts
+from tessella.llm.toxicity import score_toxicity, train
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,12 +53,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = train(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs.select("doc_id", "text"), lexicon).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
         "op4_mixing": op4_mixing,
         "op7_token_counts": op7_token_counts,
+        "op9_toxicity": op9_toxicity,
     }
 
 
