@@ -8,12 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import quality, toxicity
 from tessella.llm.common import table
 from tessella.llm.linededup import dedup_lines
 from tessella.llm.mixing import mix
 from tessella.llm.packing import pack
 from tessella.llm.tokens import token_counts
-from tessella.llm.toxicity import score_toxicity, train
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,10 +53,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs.select("doc_id", "text"), field).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lexicon = train(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs.select("doc_id", "text"), lexicon).select("doc_id", "held_out", "score", "predicted")
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), lexicon).select("doc_id", "held_out", "score", "predicted")
 
 
 def queries() -> dict[str, Query]:
@@ -65,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op3_packing": op3_packing,
         "op4_mixing": op4_mixing,
         "op7_token_counts": op7_token_counts,
+        "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
     }
 
