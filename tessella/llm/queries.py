@@ -14,6 +14,7 @@ from tessella.llm.linededup import dedup_lines
 from tessella.llm.mixing import mix
 from tessella.llm.packing import pack
 from tessella.llm.tokens import token_counts
+from tessella.llm.vectors import search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +50,24 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), cut_last=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=1024)
 
@@ -70,6 +89,7 @@ def queries() -> dict[str, Query]:
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
         "op4_mixing": op4_mixing,
+        "op6_top_k": op6_top_k,
         "op7_token_counts": op7_token_counts,
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
@@ -77,4 +97,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op6_top_k": OP6_SQL}
