@@ -13,6 +13,7 @@ from tessella.llm.common import table
 from tessella.llm.linededup import dedup_lines
 from tessella.llm.mixing import mix
 from tessella.llm.packing import pack
+from tessella.llm.pages import extract_text
 from tessella.llm.tokens import token_counts
 from tessella.llm.vectors import search
 
@@ -21,6 +22,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
@@ -86,6 +91,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_text": op1_html_text,
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
         "op4_mixing": op4_mixing,
