@@ -12,6 +12,7 @@ from tessella.llm import quality, toxicity
 from tessella.llm.common import table
 from tessella.llm.linededup import dedup_lines
 from tessella.llm.mixing import mix
+from tessella.llm.neardup import near_duplicates
 from tessella.llm.packing import pack
 from tessella.llm.pages import extract_text
 from tessella.llm.tokens import token_counts
@@ -55,6 +56,25 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), cut_last=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w
+), n AS (SELECT doc_id, len(shingles)::BIGINT AS n_shingles FROM s), e AS (SELECT doc_id, unnest(shingles) AS shingle FROM s),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n_shingles + q.n_shingles - c)),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, l.y FROM reach r JOIN both_ways l ON r.other = l.x)
+SELECT n.doc_id, n_shingles, min(other) AS component_id, n.doc_id = min(other) AS kept FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n_shingles
+"""
+
+
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -95,6 +115,7 @@ def queries() -> dict[str, Query]:
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
         "op4_mixing": op4_mixing,
+        "op5_near_duplicates": op5_near_duplicates,
         "op6_top_k": op6_top_k,
         "op7_token_counts": op7_token_counts,
         "op8_quality": op8_quality,
@@ -103,4 +124,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op6_top_k": OP6_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op5_near_duplicates": OP5_SQL, "op6_top_k": OP6_SQL}

@@ -70,3 +70,52 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum(_BYTE[data] * powers, out=sums[1:])
     inverse = _power(_INVERSES, pow(_BASE, -1, 1 << 64), starts)
     return mix64((sums[ends] - sums[starts]) * inverse + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Words in a shingle, and the factors of its words.
+SHINGLE = 5
+_FACTORS = mix64(np.arange(1, SHINGLE + 2, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted 64-bit hashes of each text's distinct shingles of five words, A-Z lower-cased.
+
+    A text of fewer words has one shingle, all its words; a text without words none.
+    """
+    raw = [t.encode() for t in texts]
+    sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)]
+    starts, ends = word_spans(data)
+    words = word_hashes(data, starts, ends)
+    edges = np.searchsorted(starts, offsets)
+    n = max(0, len(words) - SHINGLE + 1)
+    runs = np.zeros(n, dtype=np.uint64)
+    for k in range(SHINGLE):
+        runs += words[k : k + n] * _FACTORS[k]
+    runs = mix64(runs)
+    out = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if b - a >= SHINGLE:
+            out.append(np.unique(runs[a : b - SHINGLE + 1]))
+        elif b > a:
+            short = (words[a:b] * _FACTORS[: b - a]).sum(keepdims=True, dtype=np.uint64)
+            out.append(mix64(short + _FACTORS[SHINGLE : SHINGLE + 1] * np.uint64(b - a)))
+        else:
+            out.append(np.empty(0, dtype=np.uint64))
+    return out
+
+
+def text_blocks(texts: list[str], size: int = 8 << 20):
+    """Runs of texts of about `size` bytes together; a longer text comes alone."""
+    block, held = [], 0
+    for text in texts:
+        if block and held + 2 * len(text) > size:
+            yield block
+            block, held = [], 0
+        block.append(text)
+        held += 2 * len(text)
+    if block:
+        yield block
