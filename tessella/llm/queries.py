@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import quality, toxicity
 from tessella.llm.common import table
+from tessella.llm.jpeg import read_media, store_texts
 from tessella.llm.linededup import dedup_lines
 from tessella.llm.mixing import mix
 from tessella.llm.neardup import near_duplicates
@@ -109,6 +110,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs.select("doc_id", "text"), lexicon).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_media(store_texts(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_text": op1_html_text,
@@ -120,6 +125,7 @@ def queries() -> dict[str, Query]:
         "op7_token_counts": op7_token_counts,
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
+        "op10_media": op10_media,
     }
 
 
