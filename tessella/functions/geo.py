@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.binding import let
+
 
 def _icosahedron() -> tuple[list[tuple[float, float, float]], list[tuple[int, int, int]]]:
     """Unit vertices by the golden-ratio rectangles, and the 20 triples of mutually nearest vertices in rising order."""
@@ -42,17 +44,27 @@ def closest_face(x: Column, y: Column, z: Column) -> Column:
     return -F.array_max(F.array(*dots))["last"]
 
 
-def barycentric(x: Column, y: Column, z: Column, face: Column) -> Column:
-    """struct<u, v, w>: weights of the face's corners where the direction meets its plane; they sum to 1."""
-    corner = [[F.element_at(F.array(*[F.lit(VERTICES[f[i]][k]) for f in FACES]), face + 1) for k in range(3)] for i in range(3)]
+def _inverse(face: tuple[int, int, int]) -> list[float]:
+    """Rows that turn a direction into its weights on the corners of a face, up to a common factor."""
+    a, b, c = (VERTICES[i] for i in face)
+    cross = lambda p, q: (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
+    volume = sum(x * y for x, y in zip(a, cross(b, c)))
+    return [x / volume for row in (cross(b, c), cross(c, a), cross(a, b)) for x in row]
+
+
+_INVERSES = [_inverse(f) for f in FACES]
 
-    def volume(p, q, r):
-        return p[0] * (q[1] * r[2] - q[2] * r[1]) + p[1] * (q[2] * r[0] - q[0] * r[2]) + p[2] * (q[0] * r[1] - q[1] * r[0])
 
-    d, (a, b, c) = [x, y, z], corner
-    u, v, w = volume(d, b, c), volume(a, d, c), volume(a, b, d)
-    total = u + v + w
-    return F.struct((u / total).alias("u"), (v / total).alias("v"), (w / total).alias("w"))
+def by_face(values: list[list[float]], face: Column) -> Column:
+    """The face's entry of a table of numbers."""
+    return F.element_at(F.array(*[F.array(*map(F.lit, row)) for row in values]), face + 1)
+
+
+def barycentric(x: Column, y: Column, z: Column, face: Column) -> Column:
+    """struct<u, v, w>: weights of the face's corners where the direction meets its plane; they sum to 1."""
+    weights = lambda m: F.array(*[m[3 * i] * x + m[3 * i + 1] * y + m[3 * i + 2] * z for i in range(3)])
+    shares = lambda w: F.struct(*[(w[i] / (w[0] + w[1] + w[2])).alias(k) for i, k in enumerate("uvw")])
+    return let(by_face(_INVERSES, face), lambda m: let(weights(m), shares))
 
 
 def display_position(lat: Column, lon: Column) -> Column:

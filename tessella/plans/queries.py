@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import bits, colour, display, geo, lunar, matrix, names
-from tessella.operators import integrity, lookup, records
+from tessella.operators import codes, integrity, lookup, records
 from tessella.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -425,3 +425,50 @@ def display_numbers(spark, sf_dir):
 def display_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter(F.octet_length(F.substring("text", 1, 4)) == 4)
     return docs.select("doc_id", display.hex_preview(F.encode("text", "UTF-8")).alias("preview"), display.short_text(F.col("text")).alias("short"))
+
+
+def _word_list(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The words of the parts' names, in order: the caller's own list for word codes."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct().orderBy("w").limit(4096)
+    return [r["w"] for r in words.collect()]
+
+
+# A code table from all characters, then every text coded and read back.
+@query("SELECT doc_id, length(text)::INTEGER AS chars, true AS same, true AS size_holds FROM documents")
+def text_code(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    code = codes.code_table(docs)
+    rows = docs.withColumn("coded", codes.encode_text(code)("text"))
+    back = codes.decode_text(code)(F.col("coded"), F.length("text"))
+    return rows.select("doc_id", F.length("text").alias("chars"), (back == F.col("text")).alias("same"), (F.octet_length("coded") == codes.coded_size(F.col("text"), code)).alias("size_holds"))
+
+
+# Positions as numbers and back, within a metre.
+@query("SELECT event_id, true AS near, 2 AS points, true AS fits FROM events")
+def position_codes(spark, sf_dir):
+    rows = _positions(spark, sf_dir).withColumn("code", codes.position_code(F.col("lat"), F.col("lon")))
+    rows = rows.withColumn("a", geo.to_xyz(F.col("lat"), F.col("lon"))).withColumn("p", codes.position_of(F.col("code")))
+    rows = rows.withColumn("b", geo.to_xyz(F.col("p.lat"), F.col("p.lon")))
+    gap = sum(F.pow(F.col(f"a.{k}") - F.col(f"b.{k}"), F.lit(2.0)) for k in "xyz")
+    points = F.size(codes.track_codes(F.array(F.struct("lat", "lon"), F.struct("lat", "lon"))))
+    return rows.select("event_id", (F.sqrt(gap) * 6_371_000 < 1.0).alias("near"), points.alias("points"), F.col("code").between(0, (20 << 2 * codes.WEIGHT_BITS) - 1).alias("fits"))
+
+
+# Order keys as words of the parts' names, and back.
+@query("SELECT o_orderkey, o_orderkey AS back, NULL::BIGINT AS broken FROM orders")
+def word_codes(spark, sf_dir):
+    words = _word_list(spark, sf_dir)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", codes.to_words(F.col("o_orderkey"), words).alias("words"))
+    return rows.select("o_orderkey", codes.from_words(F.col("words"), words).alias("back"), codes.from_words(F.concat("words", F.lit(" x")), words).alias("broken"))
+
+
+# K8, L2: a caller's observer table (here a synthetic one) and its matrices.
+@query("SELECT 1 AS one, [1, 0, 0, 0, 1, 0, 0, 0, 1] AS identity, round(0.2::DOUBLE * 0.25 + 0.7 * 0.5 + 0.1 * 1.0, 9) AS light")
+def observer_matrix(spark, sf_dir):
+    nm = F.col("id") * 10.0 + 390
+    bell = lambda middle, width: F.exp(-F.pow((nm - middle) / width, F.lit(2.0)))
+    observer = spark.range(45).select(nm.alias("nm"), bell(570, 60.0).alias("l"), bell(540, 55.0).alias("m"), bell(445, 35.0).alias("s"))
+    m = codes.derive_rgb_to_observer(observer, (645.0, 523.0, 445.0))
+    identity = F.transform(matrix.multiply(F.col("to_lms"), F.col("to_rgb")), lambda x: F.round(x, 6).cast("int"))
+    light = codes.luminance(F.lit(0.25), F.lit(0.5), F.lit(1.0), (0.2, 0.7, 0.1))
+    return m.select(F.lit(1).alias("one"), identity.alias("identity"), F.round(light, 9).alias("light"))
