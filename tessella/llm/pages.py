@@ -196,56 +196,61 @@ def extract_text(pages: DataFrame) -> DataFrame:
     marks its article, blocks outside it aren't either.
 
     A null html is an empty page, with an empty text. A null url has no host; such pages are aligned with each other. Rows
-    that repeat give equal rows. An empty table gives no rows. Text is moved once; ordering and alignment move hashes.
+    that repeat give equal rows. An empty table gives no rows. Pages are parsed twice, for hashes and for what may be kept, so
+    that no text needs to be written between; ordering and alignment move hashes.
     """
-    mark = F.xxhash64("url", "html")
-    base = pages.select(F.struct(F.col("page_id"), mark.alias("mark")).alias("key"), "page_id", "url", "html")
+    key = F.struct(F.col("page_id"), F.xxhash64("url", "html").alias("mark"))
+    base = pages.select(key.alias("key"), "page_id", "url", "html")
+    key_type, id_type = base.schema["key"].dataType.simpleString(), base.schema["page_id"].dataType.simpleString()
 
-    def parse(batches):
+    def blocks(batches):
         for batch in batches:
-            rows = [lines_of(h or "") for h in batch.column(3).to_pylist()]
-            columns = [
-                pa.array([[x.text for x in r] for r in rows], pa.list_(pa.string())),
-                pa.array([[4 * x.core + 2 * x.out + (x.linked >= 0.5) for x in r] for r in rows], pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["key", "page_id", "url", "lines", "flags"])
-
-    key = base.schema["key"].dataType.simpleString()
-    page_id = base.schema["page_id"].dataType.simpleString()
-    parsed = park(base.mapInArrow(parse, f"key {key}, page_id {page_id}, url string, lines array<string>, flags array<int>"), "page-lines")
+            lines = [[x.text for x in lines_of(h or "")] for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lines, pa.list_(pa.string()))], names=["key", "url", "lines"])
+
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*$", "")
-    hashes = parsed.select("key", host.alias("host"), path.alias("path"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes")).dropDuplicates(["key"])
+    hashed = base.select("key", "url", "html").mapInArrow(blocks, f"key {key_type}, url string, lines array<string>")
+    hashed = hashed.select("key", host.alias("host"), path.alias("path"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
+    hashes = park(hashed, "page-hashes").dropDuplicates(["key"])
     pairs = _neighbours(hashes.select("host", "path", "key"))
     held = hashes.select("key", "hashes")
     aligned = pairs.join(held, "key").join(held.select(F.col("key").alias("other"), F.col("hashes").alias("theirs")), "other").select("key", "hashes", "theirs")
+    aligned = aligned.filter(F.arrays_overlap("hashes", "theirs"))
 
     def align(batches):
         for batch in batches:
             found = [shared_lines(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["key", "shared"])
 
-    shared = aligned.mapInArrow(align, f"key {key}, shared array<int>")
-    rows = parsed.join(shared, "key", "left")
+    shared = aligned.mapInArrow(align, f"key {key_type}, shared array<int>")
+
+    def candidates(batches):
+        for batch in batches:
+            lines, at, soft, counts = [], [], [], []
+            for rows in map(lines_of, (h or "" for h in batch.column(3).to_pylist())):
+                marked = any(x.core and not x.out for x in rows)
+                own = [(i, x) for i, x in enumerate(rows) if not x.out and (x.core or not marked)]
+                lines.append([x.text for _, x in own])
+                at.append([i for i, _ in own])
+                soft.append([not x.core or x.linked >= 0.5 for _, x in own])
+                counts.append(len(rows))
+            columns = [pa.array(lines, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32())), pa.array(soft, pa.list_(pa.bool_())), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["key", "page_id", "url", "lines", "at", "soft", "n_lines"])
+
+    kept = base.mapInArrow(candidates, f"key {key_type}, page_id {id_type}, url string, lines array<string>, at array<int>, soft array<boolean>, n_lines bigint")
+    rows = kept.join(shared, "key", "left")
 
     def decide(batches):
         for batch in batches:
-            texts, counts, commons = [], [], []
-            for lines, flags, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            texts, commons = [], []
+            for lines, at, soft, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
                 common = set(common or ())
-                marked = any(f & 4 and not f & 2 for f in flags)
-                kept = [
-                    x for i, (x, f) in enumerate(zip(lines, flags))
-                    if not f & 2 and (bool(f & 4) or not marked) and not (i in common and (f & 1 or not f & 4))
-                ]
-                texts.append("\n".join(kept))
-                counts.append(len(lines))
+                texts.append("\n".join(x for x, i, s in zip(lines, at, soft) if not (s and i in common)))
                 commons.append(len(common))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], counts, commons))],
-                names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared"],
-            )
+            columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column(6), pa.array(commons, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared"])
 
-    schema = f"page_id {page_id}, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint"
-    return rows.select("page_id", "url", "lines", "flags", "shared").mapInArrow(decide, schema)
+    schema = f"page_id {id_type}, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint"
+    return rows.select("page_id", "url", "lines", "at", "soft", "shared", "n_lines").mapInArrow(decide, schema)
