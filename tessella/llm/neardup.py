@@ -238,13 +238,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     buckets = buckets.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("size > 1")
     members = buckets.join(nodes.select("node", "sig"), "node")
     clusters = park(components(_bucket_edges(members)), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = park(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")  # as a table, so that the join may split a hot cluster
     of_cluster = clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size")
     wanted = of_cluster.join(nodes.select("node", "doc_id", "text_hash", "sig"), "node")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").filter("doc_id IS NOT NULL")
     links = components(_verified_edges(wanted.join(texts, ["doc_id", "text_hash"]), percent))  # a row that repeats only repeats a comparison
-    found = nodes.select("node", "doc_id").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = park(nodes.select("node", "doc_id").join(links, "node", "left").withColumn("component", F.coalesce("component", "node")), "found")
+    smallest = park(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
     by_node = found.join(smallest, "component").select("node", "component_id")
     rows = all_docs.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), node).alias("node"))
     rows = rows.join(by_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
