@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,9 +85,23 @@ def text_stats(text: Column) -> Column:
 
 
 def char_counts(docs: DataFrame, column: str = "text") -> DataFrame:
-    """code (code point) and n for every character of a column (X6). Counted map-side; the result has one row for each character."""
-    chars = docs.select(F.explode(F.split(F.col(column), "")).alias("char")).filter("char <> ''")
-    return chars.groupBy("char").agg(F.count(F.lit(1)).alias("n")).select(F.ascii("char").cast("bigint").alias("code"), "n")
+    """code (code point) and n for every character of a column.
+
+    Each task counts its texts in arrays of code points and reports one row for each character it has seen, so what moves
+    is bounded by the number of tasks and characters, not by the texts.
+    """
+
+    def count(batches):
+        total = np.zeros(0x110000, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen = np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))
+                    total[: len(seen)] += seen
+        codes = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(total[codes], pa.int64())], names=["code", "n"])
+
+    return docs.select(column).mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: list[tuple[int, int]]) -> dict[int, int]:

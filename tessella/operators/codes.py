@@ -6,6 +6,7 @@ the layout of position codes is this library's.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from tessella.functions.binding import let
 
 #: Bits of each of the two weights in a position code; the face takes five more.
 WEIGHT_BITS = 28
+#: Bits that the text decoder looks up at once; longer codes are searched.
+WINDOW_BITS = 14
 
 
 def code_table(docs: DataFrame, column: str = "text") -> dict[str, str]:
@@ -26,15 +29,34 @@ def code_table(docs: DataFrame, column: str = "text") -> dict[str, str]:
     return {chr(point): bits for point, bits in names.canonical_codes(names.code_lengths(counts)).items()}
 
 
-def coded_size(text: Column, table: dict[str, str]) -> Column:
-    """Bytes that a text takes in a code, by builtins alone (X1): for each code length, what is left without its characters."""
-    groups: dict[int, str] = {}
-    for c, bits in sorted(table.items()):
-        groups[len(bits)] = groups.get(len(bits), "") + c
-    total = F.lit(0)
-    for length, chars in groups.items():
-        total = total + (F.length(text) - F.length(F.translate(text, chars, ""))) * length
-    return F.ceil(total / 8.0).cast("bigint")
+class _Table:
+    """A code table as sorted arrays: code points, codes and their lengths."""
+
+    def __init__(self, table: dict[str, str]):
+        items = sorted((ord(c), bits) for c, bits in table.items())
+        self.points = np.array([p for p, _ in items] or [-1], dtype=np.int64)
+        self.codes = np.array([int(b, 2) for _, b in items] or [0], dtype=np.uint64)
+        self.lengths = np.array([len(b) for _, b in items] or [0], dtype=np.int64)
+
+    def places(self, text: str | None) -> np.ndarray | None:
+        """Places of a text's characters in the table; None for null or where one is missing."""
+        if text is None:
+            return None
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        return at if (self.points[at] == points).all() else None
+
+
+def coded_size(table: dict[str, str]):
+    """A vectorised function text -> bytes that it takes in a code, without coding it."""
+
+    @F.pandas_udf("bigint")
+    def size(texts: pd.Series) -> pd.Series:
+        own = _Table(table)
+        found = [own.places(t) for t in texts]
+        return pd.Series([None if at is None else int(-(-own.lengths[at].sum() // 8)) for at in found], dtype="Int64")
+
+    return size
 
 
 def encode_text(table: dict[str, str]):
@@ -45,13 +67,16 @@ def encode_text(table: dict[str, str]):
 
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
+        own = _Table(table)
+
         def one(text):
-            try:
-                bits = "".join(map(table.__getitem__, text))
-            except (KeyError, TypeError):
+            at = own.places(text)
+            if at is None:
                 return None
-            size = -(-len(bits) // 8)
-            return int(bits.ljust(8 * size, "0") or "0", 2).to_bytes(size, "big")
+            lengths = own.lengths[at]
+            ends = np.cumsum(lengths)
+            shift = np.repeat(ends, lengths) - 1 - np.arange(ends[-1] if len(ends) else 0)
+            return np.packbits((np.repeat(own.codes[at], lengths) >> shift.astype(np.uint64)) & np.uint64(1) == 1).tobytes()
 
         return texts.map(one)
 
@@ -59,24 +84,55 @@ def encode_text(table: dict[str, str]):
 
 
 def decode_text(table: dict[str, str]):
-    """A vectorised function (binary, characters) -> text, the inverse of encode_text; null where the bytes are too few."""
-    chars = {bits: c for c, bits in table.items()}
+    """A vectorised function (binary, characters) -> text, the inverse of encode_text; null where the bytes are too few.
+
+    All texts of a batch are read at once, one character of each in a step: a window of bits at each text's place tells the
+    character and how far its code reaches. Codes longer than the window are searched one by one; they are rare.
+    """
+    chars = {bits: ord(c) for c, bits in table.items()}
+    deepest = max(map(len, chars), default=1)
+    wide = min(deepest, WINDOW_BITS)
+
+    def longer(data: np.ndarray, at: int) -> tuple[int, int]:
+        bits = "".join(f"{b:08b}" for b in data[at // 8 : (at + deepest) // 8 + 1].tolist())[at % 8 :]
+        return next(((n, chars[bits[:n]]) for n in range(wide + 1, deepest + 1) if bits[:n] in chars), (0, 0))
 
     @F.pandas_udf("string")
     def decode(data: pd.Series, counts: pd.Series) -> pd.Series:
-        def one(raw, n):
-            if raw is None or n is None or pd.isna(n):
-                return None
-            bits, out, start = "".join(f"{b:08b}" for b in raw), [], 0
-            for end in range(1, len(bits) + 1):
-                if len(out) == n:
-                    break
-                if (c := chars.get(bits[start:end])) is not None:
-                    out.append(c)
-                    start = end
-            return "".join(out) if len(out) == n else None
-
-        return pd.Series([one(r, n) for r, n in zip(data, counts)])
+        reach, symbol = np.zeros(1 << wide, dtype=np.int64), np.zeros(1 << wide, dtype=np.uint32)
+        for bits, point in chars.items():
+            if len(bits) <= wide:
+                first = int(bits, 2) << (wide - len(bits))
+                reach[first : first + (1 << (wide - len(bits)))], symbol[first : first + (1 << (wide - len(bits)))] = len(bits), point
+        known = [raw is not None and n is not None and not pd.isna(n) for raw, n in zip(data, counts)]
+        rows = np.array([i for i, k in enumerate(known) if k], dtype=np.int64)
+        raw = [bytes(data.iloc[i]) for i in rows]
+        n = np.array([int(counts.iloc[i]) for i in rows], dtype=np.int64)
+        pad = -(-(wide + deepest) // 8) + 3
+        stream = np.frombuffer(b"".join(r + bytes(pad) for r in raw) + bytes(pad), dtype=np.uint8)
+        sizes = np.array([len(r) for r in raw], dtype=np.int64)
+        start = 8 * (np.cumsum(sizes + pad) - sizes - pad)
+        order = np.argsort(-n, kind="stable")
+        n, at, end = n[order], start[order], (start + 8 * sizes)[order]
+        first = np.cumsum(n) - n
+        out, fine = np.zeros(int(n.sum()), dtype=np.uint32), np.ones(len(n), dtype=bool)
+        for step in range(int(n.max(initial=0))):
+            lanes = int(np.searchsorted(-n, -step, side="left"))  # texts of more than `step` characters
+            place = at[:lanes]
+            byte = place >> 3
+            window = (stream[byte].astype(np.int64) << 16 | stream[byte + 1].astype(np.int64) << 8 | stream[byte + 2]) >> (24 - wide - (place & 7)) & ((1 << wide) - 1)
+            go, point = reach[window], symbol[window]
+            for lane in np.flatnonzero(go == 0).tolist():
+                go[lane], point[lane] = longer(stream, int(place[lane]))
+            out[first[:lanes] + step] = point
+            past = (go == 0) | (place + go > end[:lanes])
+            fine[:lanes] &= ~past
+            at[:lanes] = np.where(past, end[:lanes], place + go)  # a text that is cut stays at its end
+        texts: list[str | None] = [None] * len(known)
+        for lane, row in enumerate(rows[order].tolist()):
+            if fine[lane]:
+                texts[row] = out[first[lane] : first[lane] + n[lane]].tobytes().decode("utf-32-le")
+        return pd.Series(texts, dtype=object)
 
     return decode
 

@@ -440,7 +440,7 @@ def text_code(spark, sf_dir):
     code = codes.code_table(docs)
     rows = docs.withColumn("coded", codes.encode_text(code)("text"))
     back = codes.decode_text(code)(F.col("coded"), F.length("text"))
-    return rows.select("doc_id", F.length("text").alias("chars"), (back == F.col("text")).alias("same"), (F.octet_length("coded") == codes.coded_size(F.col("text"), code)).alias("size_holds"))
+    return rows.select("doc_id", F.length("text").alias("chars"), (back == F.col("text")).alias("same"), (F.octet_length("coded") == codes.coded_size(code)("text")).alias("size_holds"))
 
 
 # Positions as numbers and back, within a metre.

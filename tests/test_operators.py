@@ -70,6 +70,10 @@ def test_text_code(spark):
     rows = docs.withColumn("c", codes.encode_text(table)("text")).withColumn("back", codes.decode_text(table)(F.col("c"), F.length("text")))
     assert all(r["back"] == r["text"] for r in rows.collect())
     assert spark.createDataFrame([("z",)], "text string").select(codes.encode_text(table)("text")).first()[0] is None
+    long = {chr(97 + i): "1" * i + "0" for i in range(20)}  # codes beyond the decoder's window
+    text = spark.createDataFrame([("".join(reversed(sorted(long))),), ("attta",)], "text string").withColumn("c", codes.encode_text(long)("text"))
+    assert all(r["back"] == r["text"] for r in text.withColumn("back", codes.decode_text(long)(F.col("c"), F.length("text"))).collect())
+    assert text.select(codes.decode_text(long)(F.col("c"), F.lit(500))).first()[0] is None
 
 
 def test_sources(spark, tmp_path):
