@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella import reach_workers
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a data folder; only the columns and rows that a plan needs are read."""
+    reach_workers(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
