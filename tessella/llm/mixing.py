@@ -8,7 +8,6 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessella.llm.common import park, word_count
 
@@ -18,6 +17,8 @@ LEAF_BYTES = 16 << 20
 FAN_IN = 64
 #: Sources are configuration: one row each may be brought to the driver, up to this number.
 MAX_SOURCES = 1_000_000
+#: Sources up to which their plan is broadcast; beyond, it is joined.
+BROADCAST_SOURCES = 10_000
 
 
 def source_targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, cap: float) -> dict[str | None, float]:
@@ -67,7 +68,7 @@ def pivot(sizes: list[int], shares: list[float], draw: random.Random) -> tuple[l
     return out, carry
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, cut_last: bool = False, payload: Iterable[str] = ("doc_id",)) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, cut_last: bool = False, payload: Iterable[str] = ("doc_id",), carries_text: bool = False) -> DataFrame:
     """Chooses how many times each document goes into a mix that has `share` times all words, by source weights.
 
     Columns of the result: `payload` columns of docs, then source, size (words), source_size, target (of its source),
@@ -82,15 +83,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     docs needs doc_id, text and source. Null texts have size 0; documents of size 0 get the whole copies of their source.
     A null source is a source of its own, after all others. Rows that repeat are chosen each on their own. An empty table
-    gives no rows.
+    gives no rows. carries_text: the payload holds the texts, so leaves are bounded by their bytes too.
     """
     payload = list(payload)
     carried = F.struct(*payload)
-    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)) if "text" in payload else F.lit(16)
-    sized = docs.select(
-        carried.alias("payload"), "source", word_count(F.col("text")).alias("size"), bytes_.alias("bytes"),
-        F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed)).alias("mark"),
-    )
+    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)) if carries_text else F.lit(16)
+    own = [carried.alias("payload"), "source", word_count(F.col("text")).alias("size"), bytes_.alias("bytes")]
+    sized = docs.select(*own, F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed)).alias("mark"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -104,18 +103,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     spark = docs.sparkSession
     plan_schema = "p_source string, source_size bigint, target double, whole int, fraction double, leaves bigint"
     planned = spark.createDataFrame(plan, plan_schema)
+    planned = F.broadcast(planned) if len(plan) <= BROADCAST_SOURCES else planned
     items = sized.join(planned, sized["source"].eqNullSafe(planned["p_source"])).select(
         "payload", "source", "size", "mark", "source_size", "target", "whole",
         F.when(F.col("size") > 0, F.col("fraction")).otherwise(0.0).alias("part"),
         F.pmod("mark", "leaves").alias("node"), F.lit(False).alias("open"),
     )
-    schema = items.schema
     deepest, level = max([p[5] for p in plan], default=1), 0
     done = []
     while True:
         last = deepest == 1
         level_items = items if level == 0 else items.withColumn("node", F.floor(F.col("node") / FAN_IN))
-        rounded = level_items.groupBy("source", "node").applyInArrow(_node(schema, level, seed, last, cut_last), schema)
+        rounded = level_items.groupBy("source", "node").applyInArrow(_node(level, seed, last, cut_last), level_items.schema)
         if last:
             done.append(rounded)
             break
@@ -132,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     )
 
 
-def _node(schema: T.StructType, level: int, seed: int, last: bool, cut_last: bool):
+def _node(level: int, seed: int, last: bool, cut_last: bool):
     """The function of one node: rounds its rows and marks the residual, which the last level rounds too."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -157,5 +156,5 @@ def _node(schema: T.StructType, level: int, seed: int, last: bool, cut_last: boo
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as many times as it was chosen, with the columns of docs."""
-    chosen = mix(docs.select(F.struct("*").alias("whole_row"), "doc_id", "text", "source"), payload=("whole_row", "text"), **options)
+    chosen = mix(docs.select(F.struct("*").alias("whole_row"), "doc_id", "text", "source"), payload=("whole_row",), carries_text=True, **options)
     return chosen.filter("copies > 0").select(F.explode(F.array_repeat("whole_row", F.col("copies"))).alias("r")).select("r.*")

@@ -210,8 +210,10 @@ def test_mix_over_many_leaves(spark, monkeypatch):
     for source in {r["source"] for r in a}:
         own = [r for r in a if r["source"] == source]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and own[0]["source_size"] == sum(r["size"] for r in own)
-    whole = mixing.mix(df).collect()
-    assert all(r["taken"] == r["size"] * r["copies"] for r in whole)
+    whole = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    assert all(r["taken"] == r["size"] * r["copies"] for r in whole.values())
+    copies = collections.Counter(r["doc_id"] for r in mixing.mixed_documents(df).collect())
+    assert copies == {i: r["copies"] for i, r in whole.items() if r["copies"]}
 
 
 def test_mix_edge_cases(spark):
