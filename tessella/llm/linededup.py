@@ -105,7 +105,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
 
     held = hashed.select("doc_id", "text_hash", F.posexplode("hs").alias("pos", "h")).filter("h IS NOT NULL")
     dropped = (
-        held.join(runs.settled().hint("merge"), "h")
+        held.join(park(runs.settled(), "lines-settled").hint("merge"), "h")  # a table, so that the join may split a hot line
         .filter(~F.col("doc_id").eqNullSafe(F.col("last")))
         .groupBy(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash"))
         .agg(F.collect_set("pos").alias("dropped_at"))
