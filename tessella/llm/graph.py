@@ -17,15 +17,17 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """node and component, its smallest reachable node, for every node of the edges (a, b).
 
     Alternates two star operations until nothing changes: links of a node to its larger neighbours move to the smallest
-    one around it, then those to its smaller neighbours do. Every step is a grouped minimum and a join on the node, which
-    adaptive execution splits where a node is hot; it is written to the shared folder, so a lost executor repeats one step.
+    one around it, then those to its smaller neighbours do. Every step is a grouped minimum, which is counted map-side, and a join
+    on the node. Minima are written as tables, so that adaptive execution can split the join where a node is hot, and a lost
+    executor repeats one step.
     """
     now = park(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_smallest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        joined = large.join(_smallest(large), "u")
+        large = both.join(park(_smallest(both), "smallest"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = park(large, "links")
+        joined = large.join(park(_smallest(large), "smallest"), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         old, now = now, park(small, "links")
         forget(edges.sparkSession, old)
