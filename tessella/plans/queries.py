@@ -427,6 +427,13 @@ def display_text(spark, sf_dir):
     return docs.select("doc_id", display.hex_preview(F.encode("text", "UTF-8")).alias("preview"), display.short_text(F.col("text")).alias("short"))
 
 
+# C9 over every document: the preview is of the first four bytes, which may end inside a character.
+@query("SELECT doc_id, substr(hex(encode(text)), 1, 8) || CASE WHEN strlen(text) > 4 THEN '...' ELSE '' END AS preview, CASE WHEN length(text) > 30 THEN substr(text, 1, 27) || '...' ELSE text END AS short FROM documents")
+def display_text_whole(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", display.hex_preview(F.encode("text", "UTF-8")).alias("preview"), display.short_text(F.col("text")).alias("short"))
+
+
 def _word_list(spark: SparkSession, sf_dir: str) -> list[str]:
     """The words of the parts' names, in order: the caller's own list for word codes."""
     words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct().orderBy("w").limit(4096)
