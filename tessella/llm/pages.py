@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import park
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]{0,2000}"|'[^']{0,2000}'|[^>"'])*+[^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute of a tag, whole: its name, and its value in either quotes or none. A quote that is never closed is part of a value without quotes.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 
 #: Elements whose content is no markup, and elements without content.
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "noembed"))
@@ -27,13 +28,15 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol option p pre "
     "search section select summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words in class, id and role by which templates mark what isn't the article; the second set counts outside it only.
+#: Marks by which templates tell what isn't the article. Outside it any word of class, id and role counts, but for ids of headings, and the second set too.
+#: Inside it only a class or role that is a mark as a whole counts, or an id that is a comment mark: ids of an article's own parts are made from their titles.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription "
     "share sharing social related recommended breadcrumb breadcrumbs menu nav navbar navigation footer comment comments respond replies disqus pagination pager login signup toolbar widget".split()
 )
 OUTER_MARKS = frozenset(("header", "masthead", "topbar", "complementary", "contentinfo"))
 COMMENT_MARKS = frozenset(("comment", "comments", "respond", "replies", "disqus"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 @dataclass
@@ -48,18 +51,28 @@ class Line:
 
 def _marked(tag: str, attributes: str, core: bool) -> tuple[bool, bool]:
     """Whether attributes put an element out, and whether they make it the main one."""
-    words: set[str] = set()
+    tokens: set[str] = set()
+    ids: set[str] = set()
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and "display:none" in "".join(value.split()):
             return True, False
-        if name in ("class", "id", "role"):
-            words.update(re.split(r"[^a-z0-9]+", value))
-            if name == "role" and value == "main":
+        if name == "id":
+            ids.update(value.split())
+        elif name in ("class", "role"):
+            tokens.update(value.split())
+            if name == "role" and value.strip() == "main":
                 return False, True
-    if tag in ("html", "body", "main", "article"):
-        return bool(words & COMMENT_MARKS) and tag == "article", False
-    return bool(words & MARKS) or not core and bool(words & OUTER_MARKS), False
+    if tag in ("html", "body", "main"):
+        return False, False
+    # comment-12 is a comment, comment-on-prices a title
+    comment = any(re.sub(r"[-_]?\d+$", "", x) in COMMENT_MARKS for x in ids) and tag not in HEADINGS
+    if tag == "article":
+        return comment or any(re.split(r"[-_]", x)[0] in COMMENT_MARKS for x in tokens), False
+    if core:
+        return comment or bool(tokens & MARKS), False
+    words = {w for x in (tokens if tag in HEADINGS else tokens | ids) for w in re.split(r"[^a-z0-9]+", x)}
+    return bool(words & MARKS or words & OUTER_MARKS), False
 
 
 def lines_of(page: str) -> list[Line]:

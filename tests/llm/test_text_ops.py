@@ -43,6 +43,14 @@ def test_odd_markup():
     assert [x.text for x in pages.lines_of("<p>" + "word " * 100_000)] == [" ".join(["word"] * 100_000)]
 
 
+def test_articles_keep_parts_whose_slugs_or_values_hold_marks():
+    page = """<article><section id="related-work"><p>a</p></section><div id="social-effects">b</div><h2 id="menu-planning">c</h2><h2 id="comments">d</h2>
+    <p>see <a href="/hidden-gems">the gems</a> and <a title="the hidden cost" href="/p?id=comments">its cost</a> here</p><p data-hidden="1" data-class=ad>e</p>
+    <div class="tag-share-prices">f</div><div class="box share">no</div><div id="comments">no</div><p hidden>no</p><p style="display: none">no</p><div role=navigation>no</div></article>"""
+    assert [x.text for x in pages.lines_of(page) if x.core and not x.out] == ["a", "b", "c", "d", "see the gems and its cost here", "e", "f"]
+    assert [x.text for x in pages.lines_of("<article id='comments-on-tax'>x</article><article class='comment-body'>y</article>") if not x.out] == ["x"]
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     draw = random.Random(3)
 
