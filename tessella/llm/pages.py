@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import park
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]{0,2000}"|'[^']{0,2000}'|[^>"'])*+[^>]*)>""", re.S)
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+#: A comment, a declaration or a tag. A tag ends at the first '>' outside quoted values of any length; where such an end is nowhere, at the first '>'.
+TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+(?=>)|[^>]*+)>""", re.S)
 #: One attribute of a tag, whole: its name, and its value in either quotes or none. A quote that is never closed is part of a value without quotes.
 ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 

@@ -51,6 +51,13 @@ def test_articles_keep_parts_whose_slugs_or_values_hold_marks():
     assert [x.text for x in pages.lines_of("<article id='comments-on-tax'>x</article><article class='comment-body'>y</article>") if not x.out] == ["x"]
 
 
+def test_quoted_values_of_any_length_end_no_tag():
+    props = "<p>a > b</p>" * 50_000
+    assert [x.text for x in pages.lines_of(f"<article data-props='{props}'><p title=\"{props}\">x</p></article><p>y</p>")] == ["x", "y"]
+    assert [x.text for x in pages.lines_of("<p title=\"never closed>x</p><p>it's</p><p title=Bob's>z</p>")] == ["x", "it's", "z"]
+    assert [x.text for x in pages.lines_of("<p data-a='" + "w " * 5_000 + ">" + "'>x</p>" + "<p a='>" * 2_000)][0] == "x"
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     draw = random.Random(3)
 
