@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.integrity import ALGORITHMS
+
 
 def normal(name: Column) -> Column:
     """A name with blanks as underscores, as paths take both for the same."""
@@ -24,13 +26,21 @@ def get_field(fields: DataFrame, path: str) -> DataFrame:
 
 
 def section_info(labels: DataFrame, fields: DataFrame) -> DataFrame:
-    """One row for each section of each file: offset, size, fields declared and fields found.
+    """One row for each section of each file: offset, size, fields declared and fields found, and notes on signature and encryption.
 
-    labels: file_id, ordinal, name, offset_bytes, size_bytes, child_count.
+    labels: file_id, ordinal, name, offset_bytes, size_bytes, child_count, and where they are known signature, key and wrap: ids
+    of ALGORITHMS, or null. A section is encrypted where it has both a wrap and a key of a cipher.
     """
     counts = fields.groupBy("file_id", F.col("section").alias("name")).agg(F.count(F.lit(1)).alias("fields_found"))
     rows = labels.join(counts, ["file_id", "name"], "left")
-    return rows.select("file_id", "ordinal", "name", "offset_bytes", "size_bytes", "child_count", F.coalesce("fields_found", F.lit(0).cast("bigint")).alias("fields_found"))
+    id_of = lambda c: F.col(c) if c in labels.columns else F.lit(None).cast("string")
+
+    def note(text: str, kind: str, ids: str, where: Column) -> list[Column]:
+        return [F.when(where & (id_of(kind) == i), f"{text} {name}") for k, i, name, _ in ALGORITHMS if k == kind and i in ids]
+
+    notes = F.concat_ws(", ", *note("Signed with", "signature", "epr", F.lit(True)), *note("Encrypted with", "key", "ca", id_of("wrap").isNotNull()))
+    found = F.coalesce("fields_found", F.lit(0).cast("bigint")).alias("fields_found")
+    return rows.select("file_id", "ordinal", "name", "offset_bytes", "size_bytes", "child_count", found, notes.alias("notes"))
 
 
 def tree_lines(fields: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import bits
+from tessella.operators.lookup import normal
 
 # The fields of a capture record in their order, with type and rule.
 FIELDS = (
@@ -55,18 +56,71 @@ def group(*fields: str) -> Column:
 
 
 def to_fields(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows (key, ordinal, name, value as text) of the columns that aren't null, in the order of `columns`."""
-    rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)])
+    """Rows (key, ordinal, name, value as text) of the columns that aren't null, in the order of `columns`; lists and structs as JSON."""
+    text = {c: F.to_json(c) if df.schema[c].dataType.typeName() in ("array", "struct", "map") else F.col(c).cast("string") for c in columns}
+    rows = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("name"), text[c].alias("value")) for i, c in enumerate(columns)])
     return df.select(key, F.inline(rows)).filter("value IS NOT NULL")
 
 
-def from_fields(fields: DataFrame, key: str, schema: dict[str, str]) -> DataFrame:
-    """One row for each key from rows (key, ordinal, name, value): the last value of each name, cast to its type.
+def _typed(value: Column, kind: str) -> tuple[Column, Column]:
+    """A text as a value of a type, null where it is none, and whether it is none; lists and structs are JSON."""
+    if kind.startswith(("array<", "struct<", "map<")):
+        read = F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), f"struct<v:{kind},_corrupt_record:string>", {"columnNameOfCorruptRecord": "_corrupt_record"})
+        bad = read["_corrupt_record"].isNotNull() | read["v"].isNull()
+        return F.when(~bad, read["v"]), value.isNotNull() & bad
+    typed = value.try_cast(kind)
+    return typed, value.isNotNull() & typed.isNull()
 
-    Unknown names and values of a wrong type are left out, as null. One grouped maximum for each column, counted map-side.
+
+def _settled(rows: DataFrame, mode: str, corrupt: str, reasons: Column) -> DataFrame:
+    """Rows with their reasons as a column, or an error where there are any."""
+    if mode == "PERMISSIVE":
+        return rows.withColumn(corrupt, reasons)
+    if mode != "FAILFAST":
+        raise ValueError("a mode is PERMISSIVE or FAILFAST")
+    return rows.filter(F.when(F.size(reasons) > 0, F.raise_error(F.concat_ws(", ", reasons)).cast("boolean")).otherwise(True))
+
+
+def _parsed(fields: DataFrame, key: str, schema: dict[str, str], wanted: Column) -> DataFrame:
+    """A column for each name of the schema, and _reasons: those of values that end early (null) or have a wrong type."""
+    last = [F.max(F.when(wanted & (normal(F.col("name")) == normal(F.lit(name))), F.struct("ordinal", "value"))).alias(name) for name in schema]
+    rows, values, reasons = fields.groupBy(key).agg(*last), [], []
+    for name, kind in schema.items():
+        value, bad = _typed(F.col(name)["value"], kind)
+        values.append(value.alias(name))
+        early = F.col(name).isNotNull() & F.col(name)["value"].isNull()
+        reasons.append(F.when(early, f"{name}: end of data").when(bad, f"{name}: invalid data"))
+    return rows.select(key, *values, F.array_compact(F.array(*reasons)).alias("_reasons"))
+
+
+def from_fields(fields: DataFrame, key: str, schema: dict[str, str], mode: str = "PERMISSIVE", corrupt: str | None = None) -> DataFrame:
+    """One row for each key from rows (key, ordinal, name, value): the last value of each name, cast to its type.
+
+    Unknown names are left out. Values that end early or have a wrong type are null, and `corrupt` names a column for the list of
+    their reasons; with mode FAILFAST they are an error. One grouped maximum for each column, counted map-side.
+    """
+    rows = _parsed(fields, key, schema, F.lit(True))
+    reasons = F.col("_reasons")
+    return (rows if mode == "PERMISSIVE" and corrupt is None else _settled(rows, mode, corrupt, reasons)).drop("_reasons")
+
+
+IMAGE = "struct<bit_depth:smallint,shape:array<bigint>,data:binary>"
+
+
+def parse_raw_image(fields: DataFrame, key: str, mode: str = "FAILFAST", corrupt: str = "_corrupt") -> DataFrame:
+    """key, image and the groups raw, camera and lens of each capture, from all fields of the record.
+
+    fields: key, ordinal, name, value, and section where a file has several; then those of section raw count. Errors are a value that
+    ends early or has a wrong type, one that breaks its rule, and an image that is missing; with mode PERMISSIVE `corrupt` lists them.
     """
-    last = [F.max(F.when(F.col("name") == name, F.struct("ordinal", "value")))["value"] for name in schema]
-    return fields.groupBy(key).agg(*[x.try_cast(kind).alias(name) for x, (name, kind) in zip(last, schema.items())])
+    wanted = F.coalesce(F.col("section") == "raw", F.lit(False)) if "section" in fields.columns else F.lit(True)
+    schema = {"image": IMAGE} | {name: kind for name, kind, _ in FIELDS}
+    rows = _parsed(fields, key, schema, wanted)
+    told = F.exists("_reasons", lambda r: r.startswith("image: "))
+    missing = F.when(F.col("image").isNull() & ~told, F.array(F.lit("image: missing"))).otherwise(F.array().cast("array<string>"))
+    broken = F.transform(violations(rows), lambda n: F.concat(n, F.lit(": breaks its rule")))
+    rows = rows.select(key, "image", *[group(*names).alias(g) for g, names in GROUPS.items()], F.concat("_reasons", missing, broken).alias("_reasons"))
+    return _settled(rows, mode, corrupt, F.col("_reasons")).drop("_reasons")
 
 
 def raw_image(depth: int, shape: Column, samples: Column) -> Column:

@@ -387,10 +387,35 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id AS file_id, 3 - (doc_id % 7 = 0)::BIGINT - (doc_id % 5 = 0)::BIGINT AS passed, (doc_id % 7 = 0)::BIGINT AS failed, (doc_id % 5 = 0)::BIGINT AS absent FROM documents
 """)
 def file_checks(spark, sf_dir):
-    sections = _sections(spark, sf_dir).withColumn("offset_bytes", F.col("offset_bytes").cast("int")).withColumn("size_bytes", F.col("size_bytes").cast("int"))
+    sections = _in_files(_sections(spark, sf_dir))
     return integrity.check_counts(integrity.checks(sections))
 
 
+MAGIC = b"TSL<"
+
+
+def _in_files(sections: DataFrame) -> DataFrame:
+    """Sections of documents behind the magic bytes, which don't come from the content that they are compared with."""
+    moved = (F.col("offset_bytes") + len(MAGIC)).cast("int")
+    return sections.withColumn("content", F.concat(F.lit(MAGIC), "content")).withColumn("offset_bytes", moved).withColumn("size_bytes", F.col("size_bytes").cast("int")).withColumn("magic", F.lit(MAGIC))
+
+
+# V8, the whole: every eleventh file has another magic, every thirteenth a broken header; some have signatures and tokens.
+@query("""
+SELECT doc_id AS file_id, errors, warnings, CASE WHEN errors > 0 THEN 'INVALID' WHEN warnings > 0 THEN 'VALID' ELSE 'ALL CHECKS PASSED' END AS verdict FROM (
+  SELECT doc_id, (doc_id % 11 = 0)::BIGINT + CASE WHEN doc_id % 13 = 0 THEN 1 ELSE (doc_id % 7 = 0)::BIGINT END AS errors,
+    CASE WHEN doc_id % 13 = 0 THEN 0 ELSE (doc_id % 3 = 0)::BIGINT + (doc_id % 4 = 0)::BIGINT END AS warnings FROM documents)
+""")
+def file_verify(spark, sf_dir):
+    id_, head = F.col("file_id"), F.col("half") == 0
+    sections = _in_files(_sections(spark, sf_dir)).withColumn("signature", F.when(head & (id_ % 3 == 0), "e"))
+    sections = sections.withColumn("size_bytes", F.when(head & (id_ % 13 == 0), -1).otherwise(F.col("size_bytes")))
+    sections = sections.withColumn("name", F.when(~head & (id_ % 4 == 0), "token_auth").otherwise(F.col("name")))
+    start = F.when(F.col("doc_id") % 11 == 0, F.lit(b"NONE")).otherwise(F.lit(MAGIC))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.concat(start, F.encode("text", "UTF-8")).alias("content"), F.lit(MAGIC).alias("magic"))
+    return integrity.verdicts(integrity.verify(files, sections.drop("content")))
+
+
 # V1, V3: a hash in the file itself.
 @query("SELECT doc_id, sha256(unhex(repeat('00', 32)) || encode(text)) AS digest, doc_id % 3 <> 0 AS holds FROM documents")
 def file_hash(spark, sf_dir):

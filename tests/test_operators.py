@@ -55,6 +55,58 @@ def test_file_hash_and_checks(spark):
     assert counts == {1: (2, 0, 1), 2: (0, 2, 0)}
 
 
+def test_verify_gives_rows_for_every_check(spark):
+    files = spark.createDataFrame([(1, b"HEADbody", b"HEAD"), (2, b"TAILbody", b"HEAD"), (3, b"HEAD", b"HEAD"), (4, b"HEAD", b"HEAD"), (5, None, b"HEAD")], "file_id int, content binary, magic binary")
+    good = hashlib.sha256(b"body").hexdigest()
+    sections = spark.createDataFrame(
+        [(1, "a", 4, 4, good, "e"), (1, "token auth", 4, 4, None, None), (2, "a", 4, 4, good, None), (2, "b", 4, 5, good, None), (3, "a", -1, 4, good, "e")],
+        "file_id int, name string, offset_bytes int, size_bytes int, hash string, signature string",
+    )
+    result = integrity.verify(files, sections)
+    assert {tuple(r) for r in result.collect()} == {
+        (1, "magic", "PASS"), (1, "header", "PASS"), (1, "section a", "PASS"), (1, "signature a", "WARN"), (1, "section token auth", "ABSENT"), (1, "token", "WARN"),
+        (2, "magic", "FAIL"), (2, "header", "PASS"), (2, "section a", "PASS"), (2, "section b", "FAIL"), (2, "token", "ABSENT"), (3, "magic", "PASS"), (3, "header", "FAIL"),
+        (4, "magic", "PASS"), (4, "header", "PASS"), (4, "token", "ABSENT"), (5, "magic", "FAIL"), (5, "header", "FAIL"),
+    }
+    found = {r["file_id"]: tuple(r)[1:] for r in integrity.verdicts(result).collect()}
+    assert found == {1: (0, 2, "VALID"), 2: (2, 0, "INVALID"), 3: (1, 0, "INVALID"), 4: (0, 0, "ALL CHECKS PASSED"), 5: (2, 0, "INVALID")}
+
+
+def test_fields_of_a_wrong_type_leave_a_reason(spark):
+    fields = spark.createDataFrame([(1, 0, "iso", "no"), (1, 1, "make", None), (2, 0, "iso", "7")], "id int, ordinal int, name string, value string")
+    rows = {r["id"]: tuple(r)[1:] for r in records.from_fields(fields, "id", {"make": "string", "iso": "int"}, corrupt="_corrupt").collect()}
+    assert rows == {1: (None, None, ["make: end of data", "iso: invalid data"]), 2: (None, 7, [])}
+    with pytest.raises(Exception, match="iso: invalid data"):
+        records.from_fields(fields, "id", {"iso": "int"}, "FAILFAST").count()
+
+
+def test_raw_image_there_and_back(spark):
+    kinds = dict(id="int", image=records.IMAGE) | {name: kind for name, kind, _ in records.FIELDS}
+    values = {"array<string>": list("RGGB"), "float": 1.5, "struct<algo:string,bytes:binary>": ("SHA-256", b"\x00\xff"), "array<float>": [0.5] * 9, "string": "x", "boolean": False}
+    full = {name: values[kind] for name, kind, _ in records.FIELDS}
+    rows = [(1, (12, [2], b"\x01\x02\x03"), *full.values()), (2, None, *full.values()), (3, (8, [1], b"\x01"), *(full | {"iso_speed": -1.0}).values()), (4, (8, [1], b"\x01"), *[None] * 27)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    fields = records.to_fields(df, "id", [n for n in kinds if n != "id"]).withColumn("section", F.lit("raw"))
+    fields = fields.unionByName(spark.createDataFrame([(5, 0, "image", "{}", "other"), (4, 50, "magic_9", "[1, x]", "raw")], fields.schema))
+    back = {r["id"]: r for r in records.parse_raw_image(fields, "id", "PERMISSIVE").collect()}
+    assert {k: r["_corrupt"] for k, r in back.items()} == {1: [], 2: ["image: missing"], 3: ["iso_speed: breaks its rule"], 4: ["magic_9: invalid data"], 5: ["image: missing"]}
+    assert back[1]["image"].asDict() == {"bit_depth": 12, "shape": [2], "data": b"\x01\x02\x03"} and back[4]["camera"] is None
+    assert {n: tuple(v) if isinstance(v, tuple) else v for g in records.GROUPS for n, v in back[1][g].asDict().items()} == full
+    with pytest.raises(Exception, match="image: missing"):
+        records.parse_raw_image(fields.filter("id = 2"), "id").collect()
+    assert records.parse_raw_image(fields.filter("id = 1"), "id").count() == 1
+
+
+def test_section_notes(spark):
+    labels = spark.createDataFrame(
+        [(1, 0, "a", 0, 4, 1, "e", "c", "c"), (1, 1, "b", 4, 4, 1, None, "a", None), (1, 2, "d", 8, 4, 1, "r", None, None)],
+        "file_id int, ordinal int, name string, offset_bytes int, size_bytes int, child_count int, signature string, key string, wrap string",
+    )
+    fields = spark.createDataFrame([(1, "a")], "file_id int, section string")
+    assert {r["name"]: (r["fields_found"], r["notes"]) for r in lookup.section_info(labels, fields).collect()} == {
+        "a": (1, "Signed with Ed25519, Encrypted with ChaCha20-Poly1305"), "b": (0, ""), "d": (0, "Signed with RSA-2048")}
+
+
 def test_word_codes(spark):
     words = ["ash", "bay", "cod", "dew", "elk"]
     edges = spark.createDataFrame([(0,), (4,), (5,), (2**62,), (2**63 - 1,), (-1,), (None,)], "n bigint").withColumn("w", codes.to_words(F.col("n"), words))
