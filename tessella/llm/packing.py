@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,34 +23,29 @@ def attention_cost(n: int, quadratic: float) -> float:
     return n + quadratic * n * n
 
 
-def balance(lengths: list[int], size: int, quadratic: float, look: int = 8) -> list[list[tuple[int, int, int]]]:
+def balance(lengths: list[int], size: int, quadratic: float) -> list[list[tuple[int, int, int]]]:
     """Deals pieces to as few sequences as their tokens need; returns (piece, start in it, length) by sequence.
 
-    Longest first, each piece goes to the cheapest sequence that still has room for it, looking at the `look` cheapest
-    open ones. Where none has room, the cheapest open sequence takes what fits and the rest goes on in the same way.
-    Since the capacities add up to the tokens or more, nothing is left over.
+    Longest first, each piece goes to the cheapest of all sequences that still have room for it. Where none has room, the
+    cheapest open sequence takes what fits and the rest goes on in the same way. Since the capacities add up to the tokens
+    or more, nothing is left over.
     """
     total = sum(lengths)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(-(-total // size))]
-    room = [size] * len(out)
-    heap = [(0.0, k) for k in range(len(out))]
+    room = np.full(len(out), size)
+    cost = np.zeros(len(out))  # infinite where a sequence is full
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
         start, left = 0, lengths[i]
         while left:
-            aside = []
-            while heap and len(aside) < look:
-                aside.append(heapq.heappop(heap))
-                if room[aside[-1][1]] >= left:
-                    break
-            best = aside.pop() if room[aside[-1][1]] >= left else aside.pop(0)
-            for x in aside:
-                heapq.heappush(heap, x)
-            cost, k = best
-            n = min(left, room[k])
+            k = int(cost.argmin())
+            if room[k] < left:
+                fitting = np.flatnonzero(room >= left)
+                if len(fitting):
+                    k = int(fitting[cost[fitting].argmin()])
+            n = min(left, int(room[k]))
             out[k].append((i, start, n))
             start, left, room[k] = start + n, left - n, room[k] - n
-            if room[k]:
-                heapq.heappush(heap, (cost + attention_cost(n, quadratic), k))
+            cost[k] = cost[k] + attention_cost(n, quadratic) if room[k] else np.inf
     return out
 
 

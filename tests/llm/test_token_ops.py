@@ -77,6 +77,23 @@ def test_packing_holds_each_id_once(odd, small):
     assert packing.pack(odd.limit(0), PATH).count() == 0
 
 
+def test_balance_cuts_only_where_no_sequence_has_room():
+    draw = random.Random(5)
+    for _ in range(20):
+        lengths = [draw.choice((draw.randrange(1, 60), draw.randrange(1, 2048), draw.randrange(1, 2048))) for _ in range(400)]
+        places = packing.balance(lengths, 2048, 1 / 2048)
+        pieces = {i: [] for i in range(len(lengths))}
+        for k, own in enumerate(places):
+            for i, start, n in own:
+                pieces[i].append((start, n, k))
+        room = [2048] * len(places)
+        for i in sorted(pieces, key=lambda i: (-lengths[i], i)):
+            left = lengths[i]
+            for _, n, k in sorted(pieces[i]):
+                assert n == left or max(room) < left
+                room[k], left = room[k] - n, left - n
+
+
 def test_balance_levels_costs():
     draw = random.Random(1)
     lengths = [draw.randrange(1, 900) for _ in range(400)]
