@@ -59,7 +59,7 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Weights of word beginnings, phrases that cancel hits inside them, and the curve from features to probability."""
+    """Weights of word beginnings, and of short words with a blank behind, phrases that cancel hits inside them, and the curve from features to probability."""
 
     weights: tuple[tuple[str, float], ...]
     exceptions: tuple[str, ...]
@@ -81,7 +81,7 @@ def _new_words(texts: list[str]) -> Counter:
 
 
 def _weights(sample: list[tuple[str, int, float]], shortest: int, longest: int, least: int, entries: int) -> dict[str, float]:
-    """Log-odds of the labels for beginnings of words, by how often they occur in toxic and in clean text.
+    """Log-odds of the labels for beginnings of words, by how often they occur in toxic and in clean text. Words shorter than `shortest` count whole, with a blank behind.
 
     Beginnings are weighed from short to long, each with its shorter one as prior; kept are those that make toxic text at
     least e times as likely even where chance flatters them, that occur `least` times there, and that say more than the shorter one they begin with.
@@ -92,6 +92,8 @@ def _weights(sample: list[tuple[str, int, float]], shortest: int, longest: int,
         total.append(max(1, sum(words.values())))
         by_start: Counter = Counter()
         for word, n in words.items():
+            if len(word) < shortest:
+                by_start[f"{word} "] += n
             for k in range(shortest, min(len(word), longest) + 1):
                 by_start[word[:k]] += n
         counts[y] = by_start

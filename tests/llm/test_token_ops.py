@@ -77,6 +77,16 @@ def test_packing_holds_each_id_once(odd, small):
     assert packing.pack(odd.limit(0), PATH).count() == 0
 
 
+def test_short_words_are_learned_whole():
+    draw = random.Random(2)
+    fill = lambda: [draw.choice(("river", "kyst", "stone", "of", "the", "walk", "green", "a")) for _ in range(12)]
+    sample = [(" ".join([*fill(), *["kys"] * (i % 2), *fill()]), i % 2, 1.0) for i in range(400)]
+    lexicon = toxicity.fit_lexicon(sample)
+    match = toxicity.Matcher(lexicon)
+    assert dict(lexicon.weights)["kys "] > 1 and not {"of ", "the ", "a "} & set(dict(lexicon.weights))
+    assert match.score("the river, kys") > 0.7 > match.score("the river kyst") and match.score("KYS!") > 0.7
+
+
 def test_balance_cuts_only_where_no_sequence_has_room():
     draw = random.Random(5)
     for _ in range(20):
