@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +15,19 @@ def _smallest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """node and component, its smallest reachable node, for every node of the edges (a, b).
 
-    Alternates two star operations until nothing changes: links of a node to its larger neighbours move to the smallest
+    Alternates two star operations until nothing changes; where that takes more than `rounds` rounds, it is an error: links of a node to its larger neighbours move to the smallest
     one around it, then those to its smaller neighbours do. Every step is a grouped minimum, which is counted map-side, and a join
     on the node. Minima are written as tables, so that adaptive execution can split the join where a node is hot, and a lost
     executor repeats one step.
     """
     now = park(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = None
-    for _ in range(rounds):
+    for done in itertools.count():
+        if done == rounds:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(park(_smallest(both), "smallest"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = park(large, "links")

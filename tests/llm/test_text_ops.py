@@ -178,6 +178,12 @@ def test_near_duplicate_edge_cases(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_components_that_have_not_settled_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "a bigint, b bigint")
+    with pytest.raises(RuntimeError, match="settled in 1 rounds"):
+        graph.components(chain, rounds=1)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(200, 200), (7, 3)]
     found = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
