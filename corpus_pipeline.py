@@ -41,11 +41,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest doc_id."""
+    """One row of each group of near-duplicates stays: that of the smallest doc_id, of its texts that of the smallest hash.
+
+    A document is a doc_id with a text: of rows that repeat one stays, and of a doc_id with two texts each has its own group. Rows
+    without a doc_id take part by their text, after all others in order. Those without words are linked with nothing: such rows
+    with a doc_id stay once for each doc_id and text, such rows without one stay all.
+    """
     reach_workers(spark)
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    rows = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return rows.select(*COLUMNS)
+    anonymous = F.col("doc_id").isNull()
+    rank = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    keyed = docs.withColumn("key", F.struct(anonymous.alias("anonymous"), rank.alias("id"), F.xxhash64("text").alias("mark")))
+    found = near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text")).filter("kept")
+    kept = park(found.select(F.col("doc_id").alias("key"), (F.col("doc_id.anonymous") & (F.col("n_shingles") == 0)).alias("wordless")).distinct(), "kept-documents")
+    rows = keyed.join(kept.filter("NOT wordless").select("key"), "key").dropDuplicates(["key"])
+    nameless = keyed.filter(anonymous).join(kept.filter("wordless").select("key"), "key")
+    return rows.select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

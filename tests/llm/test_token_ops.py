@@ -301,3 +301,13 @@ def test_pipeline_stages(spark):
     want = sum(len(ids_of(r["text"])) + 1 for r in docs.collect())
     assert pieces.agg(F.sum("length")).first()[0] == want
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in ("red", "blue", "green"))
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, c), (None, c), (None, a), (None, ""), (None, None), (None, ""), (3, ""), (4, ""), (5, b + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert collections.Counter(kept) == collections.Counter([(1, a), (2, b), (None, c), (None, ""), (None, ""), (None, None), (3, ""), (4, "")])
