@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,37 +17,51 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share, spark.checkpoint.dir; the session's settings are never changed.
+
+    Where it is unset, a session on a local master takes a temporary folder. On a cluster that is an error: each executor
+    would write to a disk of its own.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tessella-"))
+    return _LOCAL[0]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the shared folder, which is deleted at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex[:12]}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
 
+def park(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back: lineage ends here, a lost executor costs nothing.
 
-def park(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends here, a lost executor costs nothing."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Tables that no later plan reads can be given to forget; the others go when the driver ends.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes the parked files of frames that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def forget(*frames: DataFrame) -> None:
+    """Deletes the parked tables that frames read, and which no later plan reads."""
     for frame in frames:
+        context = frame.sparkSession.sparkContext
         for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
             if "/tessella/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
