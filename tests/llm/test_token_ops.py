@@ -137,18 +137,22 @@ def test_words_are_those_of_python():
 def test_search_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(vectors, "TILE", 3)
+    monkeypatch.setattr(vectors, "WIDTH", 2)
     draw = np.random.default_rng(1)
     x = draw.normal(size=(400, 6)).round(1)
     x[50:150] = x[50]  # copies of one vector
     rows = [(i, v.tolist(), "x") for i, v in enumerate(x)]
-    rows += [(1000, None, "x"), (1001, [1.0, None], "x"), (1002, [float("nan")] * 6, "x"), (1003, [float("inf")] * 6, "x"), (1004, [], "x"), (1005, [1e30] * 6, "x"), (1006, [2.0], "x")]
+    rows += [(399, x[398].tolist(), "x"), (1000, None, "x"), (1001, [1.0, None], "x"), (1002, [float("nan")] * 6, "x"), (1003, [float("inf")] * 6, "x"), (1004, [], "x"), (1005, [1e30] * 6, "x"), (1006, [2.0], "x")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string")
-    plain = {i: np.floor(1024 * np.float32(v).astype(np.float64)).tolist() for i, v, _ in rows[:400]} | {1004: [], 1006: [2048.0]}
+    plain = [(i, np.floor(1024 * np.float32(v).astype(np.float64)).tolist()) for i, v, _ in rows[:401]] + [(1004, []), (1006, [2048.0])]
     df = df.filter("vec_id <> 1005")
     dot = lambda a, b: int(sum(p * q for p, q in zip(a, b)))
     want = []
-    for q in (i for i in plain if i % 50 == 0):
-        best = sorted((-dot(plain[q], v), i) for i, v in plain.items() if i != q)[:10]
+    for q, own in plain:
+        if q % 50:
+            continue
+        best = sorted((-dot(own, v), i) for i, v in plain if i != q)[:10]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert sorted(map(tuple, vectors.search(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
     assert vectors.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
@@ -156,9 +160,27 @@ def test_search_by_brute_force(spark, monkeypatch):
     assert vectors.search(few, F.col("vec_id") == 0).count() == 2
 
 
-def test_huge_components_don_t_break_search(spark):
-    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 1.0]), (2, [-1e30, 2.0])], "vec_id bigint, embedding array<float>")
-    assert [r["vec_id"] for r in vectors.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
+def test_huge_components_are_ranked_exactly(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1.0, 1.0]), (2, [-1e30, 2.0]), (3, [9e15, 1.0]), (4, [9e15, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = vectors.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [4, 3, 1, 2] and [r["score"] for r in found][::3] == [2**63 - 1, -(2**63)]
+
+
+@pytest.mark.parametrize("spread, share", [(0.02, 0.5), (None, 1.0)])
+def test_search_expands_annuli_until_the_bounds_exclude_the_rest(spark, monkeypatch, spread, share):
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    draw = np.random.default_rng(2)
+    middles = draw.normal(size=(24, 16))
+    x = middles[np.arange(1200) % 24] + spread * draw.normal(size=(1200, 16)) if spread else draw.normal(size=(1200, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    report, e = {}, np.floor(1024 * x)
+    found = {(r["query_id"], r["rank"]): r["score"] for r in vectors.search(df, F.col("vec_id") % 40 == 0, report=report).collect()}
+    for q in range(0, 1200, 40):
+        best = np.sort(np.delete(e @ e[q], q))[::-1][:10]
+        assert [found[q, k + 1] for k in range(10)] == best.tolist()
+    assert report["queries"] == 30 and report["annuli"] >= 34 and report["scanned"] <= share * report["pairs"]
 
 
 # --- scorers
