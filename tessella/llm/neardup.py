@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessella.llm.common import park
+from tessella.llm.common import forget, park
 from tessella.llm.graph import components
 from tessella.llm.words import mix64, shingle_sets, text_blocks
 
@@ -18,11 +20,16 @@ PERMUTATIONS = 64
 #: large; in small ones minimum and maximum hang together: simulated, 9 of 120,000 pairs of 3 of 4 shingles share none, 1 of 60,000 of 6 of 8.
 BAND = 4
 BANDS = 2 * PERMUTATIONS // BAND
-#: Pairs whose signatures agree in less than this share aren't compared in full: 5 standard deviations below 0.75.
+#: Sets of at most so many shingles are also keyed by all parts that a linked set may have in common with them, so such pairs are never missed.
+SMALL_SET = 10
+#: Pairs whose signatures agree in less than this share aren't compared in full: 5 standard deviations below 0.75. Small sets always are.
 LEAST_AGREEMENT = 0.56
-#: Documents of a group that one task compares; larger groups are dealt to pairs of blocks of this size.
-BUCKET_BLOCK = 1_024
-CLUSTER_BLOCK = 512
+LEAST_VALUES = math.ceil(LEAST_AGREEMENT * 2 * PERMUTATIONS)
+#: Size up to which one task compares all pairs of a group; larger groups are compared with their leader first. A member of a bucket
+#: counts 1, one of a cluster 1 for each SET_UNIT shingles begun, so a group of long documents is large too.
+BUCKET_BLOCK = 256
+CLUSTER_BLOCK = 256
+SET_UNIT = 4_096
 
 _MULTIPLIERS = (mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SECOND = np.uint32(0x85EBCA6B)
@@ -109,15 +116,18 @@ def _bytes_matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
-def _blocked(rows: DataFrame, key: str, size: str, block: int) -> DataFrame:
-    """Deals the members of a group to pairs of blocks (i, j): one pair for a small group; each member comes to every pair with its block."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+def common_parts(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of all parts of a small set that leave out no more than a linked set may lack."""
+    each = mix64(hashes ^ np.uint64(0x2545F4914F6CDD1D))
+    n, total = len(each), each.sum(dtype=np.uint64)
+    out = []
+    for gone in range(n - -(-percent * n // 100) + 1):
+        sums = np.array([each[list(c)].sum(dtype=np.uint64) for c in itertools.combinations(range(n), gone)], dtype=np.uint64)
+        out.append(total - sums + np.uint64(n - gone))
+    return mix64(np.concatenate(out)).view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, text_hash, n_shingles, c1 and c2 (hashes of the set), sig and keys of every document; one pass, no shuffle."""
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -129,6 +139,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for s in shingle_sets(block):
                     if len(s):
                         small, keys = signature(*min_max(s))
+                        if len(s) <= SMALL_SET:
+                            keys = np.concatenate([keys, common_parts(s, percent)])
                         c1, c2 = mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
                         rows.append((len(s), int(c1.astype(np.int64)), int(c2.astype(np.int64)), small.tobytes(), keys))
                     else:
@@ -142,34 +154,37 @@ def sketches(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, c1 bigint, c2 bigint, sig binary, keys array<bigint>")
 
 
-def _bucket_edges(members: DataFrame) -> DataFrame:
-    """Links of a forest over the pairs that share a band and whose signatures agree well; members: bucket, size, node, sig."""
-    dealt = _blocked(members, "bucket", "size", BUCKET_BLOCK).select("bucket", "i", "j", "own", "node", "sig")
-    dealt = dealt.repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j")
-    least = int(np.ceil(LEAST_AGREEMENT * 2 * PERMUTATIONS))
+def _forest_row(key: int, forest: _Forest) -> pa.RecordBatch:
+    edges = forest.edges()
+    return pa.RecordBatch.from_arrays([pa.array([key] * edges.num_rows, pa.int64()), *edges.columns], names=["key", "a", "b"])
+
+
+_EDGES = "key bigint, a bigint, b bigint"
+
+
+def _likely_edges(members: DataFrame) -> DataFrame:
+    """Links of a forest over the pairs of a small bucket whose signatures agree well; members: key, node, small, sig."""
 
     def run(batches):
-        for batch in _whole_groups(batches, 3):
-            starts = _starts(batch, 3)
-            group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            end = starts[1:][group]
-            own, node, cross = np.asarray(batch.column(3)), np.asarray(batch.column(4)), np.asarray(batch.column(1)) != np.asarray(batch.column(2))
-            sig = _bytes_matrix(batch.column(5), 2 * PERMUTATIONS)
+        for batch in _whole_groups(batches, 1):
+            starts = _starts(batch, 1)
+            end = starts[1:][np.repeat(np.arange(len(starts) - 1), np.diff(starts))]
+            node, small = np.asarray(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+            sig = _bytes_matrix(batch.column(3), 2 * PERMUTATIONS)
             forest = _Forest()
             left = np.arange(len(node))
             for step in range(1, int(np.diff(starts).max())):
                 left = left[left + step < end[left]]
-                a, b = left, left + step
-                ok = ~cross[a] | (own[a] != own[b])
-                a, b = a[ok], b[ok]
-                for k in range(0, len(a), 1 << 16):
-                    x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                    near = np.count_nonzero(sig[x] == sig[y], axis=1) >= least
+                for k in range(0, len(left), 1 << 16):
+                    x = left[k : k + (1 << 16)]
+                    y = x + step
+                    near = (np.count_nonzero(sig[x] == sig[y], axis=1) >= LEAST_VALUES) | small[x] & small[y]
                     for p, q in zip(node[x[near]].tolist(), node[y[near]].tolist()):
                         forest.join(p, q)
-            yield forest.edges()
+            yield _forest_row(0, forest)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    dealt = members.select("key", "node", "small", "sig").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, _EDGES)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -182,71 +197,123 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _verified_edges(members: DataFrame, percent: int) -> DataFrame:
-    """Links of a forest over the pairs of a cluster whose full sets are similar enough; members: cluster, size, node, sig, text."""
-    kinds = "cluster bigint, size bigint, node bigint, sig binary, shingles binary"
-
-    def sets(batches):
-        for batch in batches:
-            made = [s.tobytes() for block in text_blocks([t or "" for t in batch.column(4).to_pylist()]) for s in shingle_sets(block)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(made, pa.binary())], names=["cluster", "size", "node", "sig", "shingles"])
+def _compared(percent: int | None):
+    """The function of a task that compares groups of rows (key, i, j, side, node, small, sig, shingles) and yields a forest of links.
 
-    with_sets = members.select("cluster", "size", "node", "sig", "text").mapInArrow(sets, kinds)
-    dealt = _blocked(with_sets, "cluster", "size", CLUSTER_BLOCK).select("cluster", "i", "j", "own", "node", "sig", "shingles")
-    dealt = dealt.repartition(F.col("cluster"), F.col("i"), F.col("j")).sortWithinPartitions("cluster", "i", "j")
-    least = int(np.ceil(LEAST_AGREEMENT * 2 * PERMUTATIONS))
+    Rows of side 1 are compared with those of side 0, rows of side 2 with one another. Pairs whose signatures agree well are
+    links themselves, or with percent are compared on full sets unless they already hang together.
+    """
 
     def run(batches):
         for batch in _whole_groups(batches, 3):
+            keys, side, node = (np.asarray(batch.column(k)) for k in (0, 3, 4))
+            small, sig = batch.column(5).to_numpy(zero_copy_only=False), _bytes_matrix(batch.column(6), 2 * PERMUTATIONS)
+            sets = [np.frombuffer(s, dtype=np.uint64) for s in batch.column(7).to_pylist()] if percent else []
             starts = _starts(batch, 3).tolist()
-            own, node = np.asarray(batch.column(3)), np.asarray(batch.column(4)).tolist()
-            cross = (np.asarray(batch.column(1)) != np.asarray(batch.column(2))).tolist()
-            sig = _bytes_matrix(batch.column(5), 2 * PERMUTATIONS)
-            sets_ = [np.frombuffer(s, dtype=np.uint64) for s in batch.column(6).to_pylist()]
-            forest = _Forest()
             for begin, end in zip(starts[:-1], starts[1:]):
-                for x in range(begin, end - 1):
-                    agree = np.count_nonzero(sig[x + 1 : end] == sig[x], axis=1)
-                    some = np.flatnonzero(agree >= least)
-                    for y in (some[np.argsort(-agree[some], kind="stable")] + x + 1).tolist():
-                        if (not cross[x] or own[x] != own[y]) and forest.root(node[x]) != forest.root(node[y]) and _linked(sets_[x], sets_[y], percent):
-                            forest.join(node[x], node[y])
-            yield forest.edges()
+                forest, own = _Forest(), side[begin:end]
+                for x in (np.flatnonzero(own > 0) + begin).tolist():
+                    others = np.arange(x + 1, end) if side[x] == 2 else np.flatnonzero(own == 0) + begin
+                    agree = np.count_nonzero(sig[others] == sig[x], axis=1)
+                    some = np.flatnonzero(((agree >= LEAST_VALUES) | small[others] & small[x]) & (node[others] != node[x]))
+                    for y in others[some[np.argsort(-agree[some], kind="stable")]].tolist():
+                        p, q = int(node[x]), int(node[y])
+                        if forest.root(p) != forest.root(q) and (not percent or _linked(sets[x], sets[y], percent)):
+                            forest.join(p, q)
+                yield _forest_row(int(keys[begin]), forest)
+
+    return run
+
+
+def _grouped(dealt: DataFrame, percent: int | None) -> DataFrame:
+    rows = dealt.select("key", "i", "j", "side", "node", "small", "sig", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(_compared(percent), _EDGES)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+def _crossed(ids: DataFrame, some: DataFrame, block: int) -> DataFrame:
+    """Deals all members of a group and some of them (key, node) to tasks (i, j) so that each of these meets each member once.
+
+    Members come to as many tasks as the others fill, which for a leader is one.
+    """
+    counts = some.join(ids.select("key", "node", "weight"), ["key", "node"]).groupBy("key").agg(F.sum("weight").alias("some_size"))
+    place, rows, columns = F.xxhash64("node"), F.ceil(F.col("some_size") / block), F.ceil(F.col("size") / block)
+    told = ids.join(park(counts, "crossed"), "key")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    all_ = told.withColumn("i", spread(rows)).withColumn("j", F.pmod(place, columns)).withColumn("side", F.lit(0))
+    chosen = told.join(some, ["key", "node"], "left_semi").withColumn("i", F.pmod(place, rows)).withColumn("j", spread(columns)).withColumn("side", F.lit(1))
+    return all_.unionByName(chosen).select("key", "i", "j", "side", "node")
+
+
+def _large_edges(ids: DataFrame, load, block: int, percent: int | None) -> DataFrame:
+    """Links of the members of large groups; ids: key, node, leader, size, weight; load adds what is compared to dealt rows.
+
+    Every member is compared with its group's leader: one pass, in which a member is sent once. Those that aren't linked to
+    it, the loose ones, are then compared with all members, so no link is lost; where all are copies of the leader there are none.
+    """
+    led = park(_grouped(load(_crossed(ids, ids.filter("node = leader").select("key", "node"), block)), percent), "led")
+    loose = ids.filter("node <> leader").join(led.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+    loose = park(loose, "loose")
+    return led if loose.isEmpty() else led.unionByName(_grouped(load(_crossed(ids, loose, block)), percent))
+
+
+def _links(ids: DataFrame, load, block: int, percent: int | None, small_groups) -> DataFrame:
+    """Links of all groups: small ones by small_groups, large ones by way of their leader. A forest for what a task compares."""
+    zero = F.lit(0).cast("bigint")
+    few, many = ids.filter(F.col("size") <= block), ids.filter(F.col("size") > block)
+    edges = small_groups(load(few.select("key", zero.alias("i"), zero.alias("j"), F.lit(2).alias("side"), "node")))
+    return (edges if many.isEmpty() else edges.unionByName(_large_edges(many, load, block, percent))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Documents are linked where 100 times the intersection of their sets of 5-word shingles is at least `percent` times the
-    union. Steps: documents with equal sets become one node; nodes that share a band of min-max values and agree in enough
-    of their signatures make clusters; within clusters full sets are compared, all pairs by blocks that aren't yet linked;
-    components of the links give component_id, the smallest doc_id reachable.
-
-    Large groups are split into pairs of blocks; no step emits more than a forest of links for what it compares. Documents
-    without words are linked with nothing. Rows without a doc_id take no part: their component_id is null and they are
-    kept. Rows that repeat get equal results. Of rows with one doc_id and different texts each has its own links; kept then
-    only says that doc_id is the component's. An empty table gives no rows.
+    union. Steps: documents with equal sets (128 bits of them) become one node; nodes that share a band of min-max values
+    and agree in enough of their signatures, and small sets that share a part a link needs, make clusters; within clusters
+    full sets are compared unless they already hang together; components of the links give component_id, the smallest
+    doc_id reachable.
+
+    Small groups are compared in one task. In large ones, buckets and clusters alike, every member is compared with the
+    group's leader, and only those unlike it with the others, by blocks; no step emits more than a forest of links for what
+    it compares. Documents without words are linked with nothing. Rows without a doc_id take no part: their component_id is
+    null and they are kept. Rows that repeat get equal results. Of rows with one doc_id and different texts each has its own
+    links; kept then only says that doc_id is the component's. Texts of any length are read whole; long ones make their
+    cluster large. Columns but doc_id and text are not read. An empty table gives no rows.
     """
-    all_docs = park(sketches(docs), "sketches")
-    node = F.xxhash64("c1", "c2")
-    known = all_docs.filter("n_shingles > 0 AND doc_id IS NOT NULL").withColumn("node", node)
-    nodes = known.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    nodes = park(nodes.select("node", F.col("of.doc_id").alias("doc_id"), F.col("of.text_hash").alias("text_hash"), "sig", "keys"), "nodes")
-
-    buckets = nodes.select("node", F.explode("keys").alias("bucket"))
-    buckets = buckets.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("size > 1")
-    members = buckets.join(nodes.select("node", "sig"), "node")
-    clusters = park(components(_bucket_edges(members)), "clusters")
-    sizes = park(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")  # as a table, so that the join may split a hot cluster
-    of_cluster = clusters.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size")
-    wanted = of_cluster.join(nodes.select("node", "doc_id", "text_hash", "sig"), "node")
+    all_docs = park(sketches(docs, percent), "sketches")
+    known = all_docs.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    nodes = known.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    nodes = nodes.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", F.col("of.doc_id").alias("doc_id"), F.col("of.text_hash").alias("text_hash"), "n", (F.col("n") <= SMALL_SET).alias("small"), "sig", "keys")
+    nodes = park(nodes, "nodes")  # numbers are as they are written
+
+    listed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = park(listed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("leader")).filter("size > 1"), "buckets")  # counted map-side
+    placed = park(listed.join(shared, "key").withColumn("weight", F.lit(1).cast("bigint")), "bucket-members")
+    signed = lambda dealt: dealt.join(nodes.select("node", "small", "sig"), "node").withColumn("shingles", F.lit(None).cast("binary"))
+    clusters = park(components(_links(placed, signed, BUCKET_BLOCK, None, _likely_edges)), "clusters")
+
+    weighed = clusters.join(nodes.select("node", "n"), "node").withColumn("weight", F.ceil(F.col("n") / SET_UNIT)).drop("n")
+    weighed = park(weighed, "cluster-members")
+    sizes = park(weighed.groupBy("component").agg(F.sum("weight").alias("size")), "cluster-sizes")  # as a table, so that the join may split a hot cluster
+    ids = park(weighed.join(sizes, "component").select(F.col("component").alias("key"), "node", F.col("component").alias("leader"), "size", "weight"), "cluster-ids")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").filter("doc_id IS NOT NULL")
-    links = components(_verified_edges(wanted.join(texts, ["doc_id", "text_hash"]), percent))  # a row that repeats only repeats a comparison
-    found = park(nodes.select("node", "doc_id").join(links, "node", "left").withColumn("component", F.coalesce("component", "node")), "found")
+
+    def sets(batches):
+        for batch in batches:
+            made = [s.tobytes() for block in text_blocks([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]) for s in shingle_sets(block)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
+
+    def whole(dealt: DataFrame) -> DataFrame:
+        of = dealt.join(nodes.select("node", "doc_id", "text_hash", "small", "sig"), "node").join(texts, ["doc_id", "text_hash"])  # a row that repeats only repeats a comparison
+        return of.select("key", "i", "j", "side", "node", "small", "sig", "text").mapInArrow(sets, "key bigint, i bigint, j bigint, side int, node bigint, small boolean, sig binary, shingles binary")
+
+    links = components(_links(ids, whole, CLUSTER_BLOCK, percent, lambda rows: _grouped(rows, percent)))
+    found = nodes.select("node", "c1", "c2", "doc_id").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = park(found, "found")
     smallest = park(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
-    by_node = found.join(smallest, "component").select("node", "component_id")
-    rows = all_docs.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), node).alias("node"))
-    rows = rows.join(by_node, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    forget(nodes, shared, placed, clusters, weighed, sizes, ids, links)
+    by_set = found.join(smallest, "component").select("c1", "c2", "component_id")
+    takes_part = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    rows = all_docs.select("doc_id", "n_shingles", *[F.when(takes_part, F.col(c)).alias(c) for c in ("c1", "c2")])
+    rows = rows.join(by_set, ["c1", "c2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

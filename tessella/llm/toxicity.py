@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -22,36 +23,42 @@ SAMPLE_DOCS = 4_000
 #: Entries of the lexicon, at most, by weight.
 LEXICON_ENTRIES = 4_096
 
-#: General insults with which a lexicon starts; learned weights add to these.
+#: Parameters that a caller may replace: general insults with which a lexicon starts where the labels say nothing of them,
 SEEDS = ("idiot", "moron", "stupid", "imbecile", "loser", "pathetic", "scum", "trash", "worthless", "disgusting", "clown", "bastard", "dumbass", "retard", "vermin")
-#: Phrases in which a listed word means no harm.
+#: and phrases in which a listed word means no harm.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "circus clown", "clown car", "stupid mistake", "pond scum", "soap scum", "sore loser rule", "loser bracket")
 
 #: Letters of other scripts that look like Latin ones, and digits that stand for letters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "п": "n", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
+    "ı": "i", "ȷ": "j", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʏ": "y", "ɪ": "i", "ɴ": "n", "ʀ": "r", "ᴀ": "a", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ᴋ": "k", "ᴍ": "m", "ᴏ": "o", "ᴘ": "p", "ᴛ": "t", "ᴜ": "u",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
 }
 SIGNS = {"@": "a", "$": "s", "!": "i"}
 SIGN = re.compile(r"[@$!](?=[^\W_])")
-JOINERS = "­​‌‍⁠﻿"
 
 
-def _folding() -> dict[int, str | None]:
-    """Code point to what it is read as: lower-case letters, blanks for what is no letter or digit."""
-    table: dict[int, str | None] = {}
-    for code in [*range(0x250), *range(0x370, 0x530), *range(0x2000, 0x2070), *range(0x3000, 0x3040), *range(0xFF01, 0xFF5F)]:
-        base = "".join(HOMOGLYPHS.get(c, c) for c in unicodedata.normalize("NFKC", chr(code)).lower())
-        table[code] = base if base.isalnum() else " "
-    return table | {ord(c): None for c in JOINERS}
+class _Folding(dict):
+    """Code point to what it is read as, made when it is first met: lower-case letters and digits without marks, a blank for the rest.
+
+    Compatibility forms (wide, mathematical, enclosed and small letters, ligatures) fall apart into plain ones, marks and
+    characters without width go.
+    """
+
+    def __missing__(self, code: int) -> str | None:
+        char = chr(code)
+        parts = [c for c in unicodedata.normalize("NFKD", char) if unicodedata.category(c) not in ("Mn", "Me", "Cf")]
+        plain = unicodedata.normalize("NFC", "".join(HOMOGLYPHS.get(c, c) for c in "".join(parts).lower()))
+        self[code] = found = plain if plain.isalnum() else " " if parts else None
+        return found
 
 
-_TABLE = _folding()
+_TABLE = _Folding()
 
 
 def fold(text: str) -> str:
-    """Text with homoglyphs, wide letters and digits as plain letters and blanks for the rest, between two blanks."""
+    """Text with marked, wide and look-alike letters and digits as plain letters and blanks for the rest, between two blanks."""
     if "@" in text or "$" in text or "!" in text:
         text = SIGN.sub(lambda m: SIGNS[m[0]], text)
     return f" {text.translate(_TABLE)} "
@@ -80,7 +87,7 @@ def _new_words(texts: list[str]) -> Counter:
     return out
 
 
-def _weights(sample: list[tuple[str, int, float]], shortest: int, longest: int, least: int, entries: int) -> dict[str, float]:
+def _weights(sample: list[tuple[str, int, float]], shortest: int, longest: int, least: int, entries: int, seeds: tuple[str, ...]) -> dict[str, float]:
     """Log-odds of the labels for beginnings of words, by how often they occur in toxic and in clean text. Words shorter than `shortest` count whole, with a blank behind.
 
     Beginnings are weighed from short to long, each with its shorter one as prior; kept are those that make toxic text at
@@ -114,26 +121,34 @@ def _weights(sample: list[tuple[str, int, float]], shortest: int, longest: int,
     # where a longer beginning is clean, it must not pass for its toxic shorter one
     told |= {s: min(0.0, w) for s, w in odds.items() if w < 1 and odds.get(s[:-1], 0.0) >= 1}
     kept = dict(sorted(told.items(), key=lambda x: (-abs(x[1]) * toxic[x[0]], x[0]))[:entries])
-    for word in SEEDS:
+    for word in seeds:
         if toxic[word] + clean[word] < least:
             kept[word] = 6.0
     return kept
 
 
-def fit_lexicon(sample: list[tuple[str, int, float]], shortest: int = 4, longest: int = 12, least: int = 4) -> Lexicon:
+def _side(text: str) -> int:
+    """0 or 1 by the least hash of a text's neighbouring words, so near copies are mostly on one side."""
+    words = ["", *fold(text).split(), ""]
+    return min(zlib.crc32(f"{a} {b}".encode()) for a, b in itertools.pairwise(words)) & 1
+
+
+def fit_lexicon(
+    sample: list[tuple[str, int, float]], shortest: int = 4, longest: int = 12, least: int = 4, seeds: tuple[str, ...] = SEEDS, exceptions: tuple[str, ...] = EXCEPTIONS
+) -> Lexicon:
     """A lexicon and its curve. The curve is fitted on one half of the sample with weights learned from the other half."""
     labels = np.array([y for _, y, _ in sample], dtype=float)
-    final = Lexicon(tuple(sorted(_weights(sample, shortest, longest, least, LEXICON_ENTRIES).items())), EXCEPTIONS, (0.2, 2.0, 0.0, 0.0, -3.0))
+    learn = lambda rows: tuple(sorted(_weights(rows, shortest, longest, least, LEXICON_ENTRIES, seeds).items()))
+    final = Lexicon(learn(sample), tuple(exceptions), (0.2, 2.0, 0.0, 0.0, -3.0))
     if not len(sample) or not 0 < labels.sum() < len(labels):
         return final
     xs, ys, ws = [], [], []
+    sides = [_side(t) for t, _, _ in sample]  # so copies don't tell what their copies are
     for side in (0, 1):
-        # texts that begin alike are on one side, so copies don't tell what their copies are
-        there = [(zlib.crc32(t[:100].encode()) & 1) == side for t, _, _ in sample]
-        match = Matcher(Lexicon(tuple(_weights([s for s, k in zip(sample, there) if not k], shortest, longest, least, LEXICON_ENTRIES).items()), EXCEPTIONS, final.curve))
-        xs += [match.features(t) for (t, _, _), k in zip(sample, there) if k]
-        ys += [y for (_, y, _), k in zip(sample, there) if k]
-        ws += [w for (_, _, w), k in zip(sample, there) if k]
+        match = Matcher(Lexicon(learn([s for s, k in zip(sample, sides) if k != side]), final.exceptions, final.curve))
+        xs += [match.features(t) for (t, _, _), k in zip(sample, sides) if k == side]
+        ys += [y for (_, y, _), k in zip(sample, sides) if k == side]
+        ws += [w for (_, _, w), k in zip(sample, sides) if k == side]
     curve = logistic(np.array(xs), np.array(ys, dtype=float), np.array(ws))
     return Lexicon(final.weights, final.exceptions, tuple(float(c) for c in curve))
 
@@ -154,22 +169,30 @@ class Matcher:
         self.automaton.make_automaton()
 
     def features(self, text: str) -> tuple[float, float, float, float]:
-        """Weight of the hits outside exception phrases as it is, by the logarithm of the words and by words; and their number's logarithm.
+        """Weight of the hits outside exception phrases on a logarithmic scale, by the logarithm of the words and by words; and their number's logarithm.
 
-        Of the beginnings that match one word the longest counts.
+        Of the beginnings that match one word the longest counts. Time is in proportion to the text.
         """
         folded = fold(text)
-        words = folded.count(" ") - 1
+        words = len(folded.split())
         hits: dict[int, float] = {}
-        safe = []
+        safe: list[tuple[int, int]] = []
         for end, (n, weight, exception) in self.automaton.iter(folded):
             if exception:
-                safe.append((end - n, end))
+                begin = end - n
+                while safe and safe[-1][0] >= begin:  # ends rise, so an earlier phrase that begins later is inside
+                    safe.pop()
+                safe.append((begin, end))
             else:
                 hits[end - n] = weight  # ends rise, so the longest comes last
-        total = sum(w for at, w in hits.items() if not any(a <= at < b for a, b in safe))
+        total, k = 0.0, 0
+        for at in sorted(hits):
+            while k < len(safe) and safe[k][1] <= at:
+                k += 1
+            if k == len(safe) or at < safe[k][0]:
+                total += hits[at]
         size = math.log2(4 + words)
-        return min(total, 50.0) / 5, total / size, 10 * total / (10 + words), size / 10
+        return math.asinh(total), total / size, 10 * total / (10 + words), size / 10
 
     def score(self, text: str) -> float:
         *slopes, intercept = self.curve
@@ -188,15 +211,15 @@ def matcher(lexicon: Lexicon) -> Matcher:
     return _MATCHERS[lexicon]
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample_docs: int = SAMPLE_DOCS) -> Lexicon:
-    """A lexicon fitted on at most sample_docs labelled documents outside the held-out fold."""
-    return fit_lexicon(labelled_sample(docs, labels, "toxic", folds, held_out, sample_docs))
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample_docs: int = SAMPLE_DOCS, seeds: tuple[str, ...] = SEEDS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """A lexicon fitted on at most sample_docs labelled documents outside the held-out fold; seeds and exceptions are the caller's lists."""
+    return fit_lexicon(labelled_sample(docs, labels, "toxic", folds, held_out, sample_docs), seeds=seeds, exceptions=exceptions)
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, folds: int = 3, held_out: int = 1, threshold: float = 0.7) -> DataFrame:
     """Adds held_out, score and predicted to docs; columns of these names are replaced, others stay.
 
-    Every whole text is scored on its own; null and empty texts get the score of a text without hits. A null doc_id is in
+    Every whole text is scored on its own, of any length; null and empty texts get the score of a text without hits. A null doc_id is in
     no held-out fold. Rows that repeat get equal scores. An empty table gives no rows. No shuffle.
     """
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]

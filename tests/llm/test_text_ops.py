@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,7 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
         base = [f"w{draw.randrange(500)}" for _ in range(draw.choice([12, 60, 200]))]
         rows += [edited(base, draw.choice([0, 0.01, 0.02, 0.05]), draw) for _ in range(draw.choice([2, 5, 40]))]
     rows += ["one two", "ONE  two", "one", "", " \t", "one two three four five", "one two three four five six"]
+    rows += [" ".join(f"s{g}w{i}" for i in range(a, b)) for g in range(4) for a, b in ((0, 9), (1, 9), (0, 8), (0, 7), (1, 11), (0, 12))]
     rows = list(enumerate(rows))
     draw.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -170,6 +172,24 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
     assert found == near_by_brute_force(rows)
 
 
+def test_small_sets_that_are_linked_share_a_key():
+    draw = random.Random(9)
+    for _ in range(300):
+        a = np.array(draw.sample(range(2**60), draw.randrange(1, 11)), dtype=np.uint64)
+        b = np.array((draw.sample(a.tolist(), draw.randrange(len(a) + 1)) + draw.sample(range(2**60), 3))[: draw.randrange(1, 11)], dtype=np.uint64)
+        if 100 * len(set(a) & set(b)) >= 75 * len(set(a) | set(b)):
+            assert set(neardup.common_parts(a, 75)) & set(neardup.common_parts(b, 75))
+
+
+def test_long_texts_make_large_clusters(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SET_UNIT", 100)
+    monkeypatch.setattr(neardup, "CLUSTER_BLOCK", 32)
+    base = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join([*base[40 * i :], *(f"v{i}x{j}" for j in range(40 * i))])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()} == near_by_brute_force(rows)
+
+
 def test_near_duplicate_edge_cases(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(5, text, 1), (3, text, 2), (3, text, 3), (None, text, 4), (7, None, 5), (8, "", 6)]
