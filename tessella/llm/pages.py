@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from dataclasses import dataclass
 
@@ -142,33 +143,66 @@ def lines_of(page: str) -> list[Line]:
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of a longest common subsequence of a and b, by bit vectors; a row of bits for each line of a is kept."""
-    where: dict[int, int] = {}
-    for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    row, rows = full, []
-    for x in a:
-        hit = row & where.get(x, 0)
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(row)
-    found, i, j = [], len(a), len(b)
+    """Positions in a of a longest common subsequence of a and b, by bit vectors.
+
+    A row of bits, one for each line of b, tells how the subsequence grows with each line of a. Only every k-th row is kept
+    and the rows between are made again on the way back, so memory is the square root of the lines of a in rows.
+    """
+    both = set(a) & set(b)
+    ours, theirs = [i for i, x in enumerate(a) if x in both], [x for x in b if x in both]
+    start = 0
+    while start < min(len(ours), len(theirs)) and a[ours[start]] == theirs[start]:
+        start += 1
+    end = 0
+    while end < min(len(ours), len(theirs)) - start and a[ours[-1 - end]] == theirs[-1 - end]:
+        end += 1
+    head, tail = ours[:start], ours[len(ours) - end :]
+    ours, theirs = ours[start : len(ours) - end], theirs[start : len(theirs) - end]
+    if not ours or not theirs:
+        return head + tail
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(theirs):
+        places.setdefault(x, []).append(j)
+    full = (1 << len(theirs)) - 1
+
+    def after(row: int, x: int) -> int:
+        if x not in places:
+            return row
+        mask = bytearray(len(theirs) // 8 + 1)
+        for j in places[x]:
+            mask[j >> 3] |= 1 << (j & 7)
+        hit = row & int.from_bytes(mask, "little")
+        return ((row + hit) | (row - hit)) & full
+
+    step = max(1, math.isqrt(len(ours)))
+    kept, row = [full], full  # the rows before lines 0, step, 2 * step, ...
+    for i, at in enumerate(ours, 1):
+        row = after(row, a[at])
+        if i % step == 0:
+            kept.append(row)
+    found, i, j = [], len(ours), len(theirs)
     while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
-            j -= 1
-        elif a[i - 1] == b[j - 1]:
-            found.append(i - 1)
-            i, j = i - 1, j - 1
-        else:
-            i -= 1
-    return found[::-1]
+        base = (i - 1) // step * step
+        rows = [kept[base // step]]
+        for at in ours[base:i]:
+            rows.append(after(rows[-1], a[at]))
+        while i > base and j:
+            if rows[i - base] >> (j - 1) & 1:
+                j -= 1
+            elif a[ours[i - 1]] == theirs[j - 1]:
+                found.append(ours[i - 1])
+                i, j = i - 1, j - 1
+            else:
+                i -= 1
+    return head + found[::-1] + tail
 
 
 def _neighbours(keys: DataFrame) -> DataFrame:
-    """key and other: for each page the page of its host whose path is nearest, the one before or after it in path order.
+    """key and other: for each page the page of its host with another content whose path is nearest, the one before or after it in path order.
 
-    Pages are ordered by (host, path, key) in range partitions, so a host with a third of all pages takes many tasks. Rows
-    at partition ends, two for each partition, are collected to tell the ends' neighbours beyond.
+    keys: host, path, key, content. Pages are ordered by (host, path, key) in range partitions, so a host with a third of
+    all pages takes many tasks. Pages of equal content in a row have the same neighbours; four rows of each partition are
+    collected to tell the neighbours beyond its ends. Of two equally near pages the one before is taken.
     """
     spark = keys.sparkSession
 
@@ -184,35 +218,57 @@ def _neighbours(keys: DataFrame) -> DataFrame:
     order = [F.col("host"), F.col("path"), F.col("key")]
     dealt = keys.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     placed = park(dealt.mapInArrow(number, f"part bigint, at bigint, {kinds}"), "page-order")
-    row = F.struct("host", "path", "key")
-    ends = placed.groupBy("part").agg(F.min_by(row, "at").alias("first"), F.max_by(row, "at").alias("last")).orderBy("part").collect()
-    around = [(e["part"], ends[i - 1]["last"] if i else None, ends[i + 1]["first"] if i + 1 < len(ends) else None) for i, e in enumerate(ends)]
+    row = F.struct("host", "path", "key", "content")
+
+    def other(step: Column) -> Column:
+        """The row beyond this one in a direction, where its content is another."""
+        return F.when(step.isNotNull() & (step["content"] != F.col("content")), step)
+
+    up, down = Window.partitionBy("part").orderBy("at"), Window.partitionBy("part").orderBy(F.desc("at"))
+    seen = placed.withColumn("back", other(F.lag(row).over(up))).withColumn("ahead", other(F.lag(row).over(down)))
+    seen = seen.withColumn("before", F.last("back", True).over(up)).withColumn("after", F.last("ahead", True).over(down)).drop("back", "ahead")
+    seen = park(seen, "page-neighbours")
+    first, last = F.struct(row.alias("end"), F.col("after").alias("next")), F.struct(row.alias("end"), F.col("before").alias("next"))
+    ends = seen.groupBy("part").agg(F.min_by(first, "at").alias("first"), F.max_by(last, "at").alias("last")).orderBy("part").collect()
+
+    def beyond(content: int, parts, side: str):
+        """The nearest row with another content in partitions further on: their end, or the first one unlike it."""
+        for part in parts:
+            for r in part[side]:
+                if r is not None and r["content"] != content:
+                    return r
+        return None
+
+    around = [(e["part"], beyond(e["first"]["end"]["content"], ends[:i][::-1], "last"), beyond(e["last"]["end"]["content"], ends[i + 1 :], "first")) for i, e in enumerate(ends)]
     kind = placed.select(row.alias("r")).schema["r"].dataType.simpleString()
-    beyond = spark.createDataFrame(around, f"part bigint, before {kind}, after {kind}")
-    walk = Window.partitionBy("part").orderBy("at")
-    seen = placed.join(beyond, "part").withColumn("before", F.coalesce(F.lag(row).over(walk), "before")).withColumn("after", F.coalesce(F.lead(row).over(walk), "after"))
+    edges = spark.createDataFrame(around, f"part bigint, earlier {kind}, later {kind}")
+    seen = seen.join(edges, "part").withColumn("before", F.coalesce("before", "earlier")).withColumn("after", F.coalesce("after", "later"))
 
-    def near(other: str) -> Column:
+    def near(side: str) -> Column:
         chars = F.split("path", "")
-        alike = F.zip_with(chars, F.split(f"{other}.path", ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return F.when(F.col(f"{other}.host").eqNullSafe(F.col("host")), F.coalesce(F.array_position(alike, False), F.lit(0)).cast("int"))
+        alike = F.zip_with(chars, F.split(f"{side}.path", ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+        return F.when(F.col(f"{side}.host").eqNullSafe(F.col("host")), F.coalesce(F.array_position(alike, False), F.lit(0)).cast("int"))
 
     before, after = near("before"), near("after")
-    other = F.when(after.isNotNull() & (before.isNull() | (after > before)), F.col("after.key")).when(before.isNotNull(), F.col("before.key"))
-    return seen.select("key", other.alias("other")).filter("other IS NOT NULL")
+    # array_position is 0 where all characters agree: the paths are equal, which is nearest
+    before, after = (F.when(x == 0, 1 << 30).otherwise(x) for x in (before, after))
+    nearest = F.when(after.isNotNull() & (before.isNull() | (after > before)), F.col("after.key")).when(before.isNotNull(), F.col("before.key"))
+    return seen.select("key", nearest.alias("other")).filter("other IS NOT NULL")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
-    """The main text of every page: page_id, url, text, n_chars, n_lines (all blocks), n_shared (shared with the nearest page).
+    """The main text of every page: page_id, url, text, n_chars, n_lines (all blocks), n_shared and n_marked (of these, deleted by alignment, and by marks).
 
-    Each page is aligned with the page of its host that has the nearest URL path, by a longest common subsequence of their
-    blocks. Blocks that both have are deleted: outside the article always, inside it where they are mostly links, since an
-    article may well cite or mirror another. Blocks in elements that can't hold main text are never kept, and where a page
-    marks its article, blocks outside it aren't either.
+    Each page is aligned with the page of its host that has the nearest URL path and another content, by a longest common
+    subsequence of their blocks. Blocks that both have are deleted: outside the article always, inside it where they are
+    mostly links, since an article may well cite or mirror another. Of what alignment leaves, blocks in elements that can't
+    hold main text go, and where a page marks its article, blocks outside it.
 
     A null html is an empty page, with an empty text. A null url has no host; such pages are aligned with each other. Rows
-    that repeat give equal rows. An empty table gives no rows. Pages are parsed twice, for hashes and for what may be kept, so
-    that no text needs to be written between; ordering and alignment move hashes.
+    that repeat give equal rows, and pages of equal content are never aligned with one another, so a page isn't emptied by
+    its copy. Of two equally near pages the earlier in path order counts. Pages of any length are read whole; columns but
+    page_id, url and html are not read. An empty table gives no rows. Pages are parsed twice, for hashes and for what may be
+    kept, so that no text needs to be written between; ordering and alignment move hashes.
     """
     key = F.struct(F.col("page_id"), F.xxhash64("url", "html").alias("mark"))
     base = pages.select(key.alias("key"), "page_id", "url", "html")
@@ -229,7 +285,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     hashed = base.select("key", "url", "html").mapInArrow(blocks, f"key {key_type}, url string, lines array<string>")
     hashed = hashed.select("key", host.alias("host"), path.alias("path"), F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
     hashes = park(hashed, "page-hashes").dropDuplicates(["key"])
-    pairs = _neighbours(hashes.select("host", "path", "key"))
+    pairs = _neighbours(hashes.select("host", "path", "key", F.xxhash64("hashes").alias("content")))
     held = hashes.select("key", "hashes")
     aligned = pairs.join(held, "key").join(held.select(F.col("key").alias("other"), F.col("hashes").alias("theirs")), "other").select("key", "hashes", "theirs")
     aligned = aligned.filter(F.arrays_overlap("hashes", "theirs"))
@@ -243,29 +299,33 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     def candidates(batches):
         for batch in batches:
-            lines, at, soft, counts = [], [], [], []
+            lines, at, soft, out, counts = [], [], [], [], []
             for rows in map(lines_of, (h or "" for h in batch.column(3).to_pylist())):
                 marked = any(x.core and not x.out for x in rows)
-                own = [(i, x) for i, x in enumerate(rows) if not x.out and (x.core or not marked)]
-                lines.append([x.text for _, x in own])
-                at.append([i for i, _ in own])
-                soft.append([not x.core or x.linked >= 0.5 for _, x in own])
+                gone = [x.out or marked and not x.core for x in rows]
+                lines.append([x.text for x, g in zip(rows, gone) if not g])
+                at.append([i for i, g in enumerate(gone) if not g])
+                soft.append([not x.core or x.linked >= 0.5 for x, g in zip(rows, gone) if not g])
+                out.append([i for i, g in enumerate(gone) if g])
                 counts.append(len(rows))
-            columns = [pa.array(lines, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32())), pa.array(soft, pa.list_(pa.bool_())), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["key", "page_id", "url", "lines", "at", "soft", "n_lines"])
+            columns = [pa.array(lines, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32())), pa.array(soft, pa.list_(pa.bool_())), pa.array(out, pa.list_(pa.int32())), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["key", "page_id", "url", "lines", "at", "soft", "out", "n_lines"])
 
-    kept = base.mapInArrow(candidates, f"key {key_type}, page_id {id_type}, url string, lines array<string>, at array<int>, soft array<boolean>, n_lines bigint")
+    kept = base.mapInArrow(candidates, f"key {key_type}, page_id {id_type}, url string, lines array<string>, at array<int>, soft array<boolean>, out array<int>, n_lines bigint")
     rows = kept.join(shared, "key", "left")
 
     def decide(batches):
         for batch in batches:
-            texts, commons = [], []
-            for lines, at, soft, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+            texts, aligned_out, marked_out = [], [], []
+            for lines, at, soft, out, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6))):
                 common = set(common or ())
-                texts.append("\n".join(x for x, i, s in zip(lines, at, soft) if not (s and i in common)))
-                commons.append(len(common))
-            columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column(6), pa.array(commons, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared"])
-
-    schema = f"page_id {id_type}, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint"
-    return rows.select("page_id", "url", "lines", "at", "soft", "shared", "n_lines").mapInArrow(decide, schema)
+                stay = [x for x, i, s in zip(lines, at, soft) if not (s and i in common)]
+                texts.append("\n".join(stay))
+                by_marks = sum(i not in common for i in out)
+                marked_out.append(by_marks)
+                aligned_out.append(len(lines) + len(out) - len(stay) - by_marks)
+            columns = [pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in ([len(t) for t in texts], batch.column(7), aligned_out, marked_out))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_marked"])
+
+    schema = f"page_id {id_type}, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint, n_marked bigint"
+    return rows.select("page_id", "url", "lines", "at", "soft", "out", "shared", "n_lines").mapInArrow(decide, schema)
