@@ -40,25 +40,35 @@ SIGN = re.compile(r"[@$!](?=[^\W_])")
 
 
 class _Folding(dict):
-    """Code point to what it is read as, made when it is first met: lower-case letters and digits without marks, a blank for the rest.
+    """Code point to what it is read as, made when it is first met: lower-case letters and digits, a blank for the rest.
 
-    Compatibility forms (wide, mathematical, enclosed and small letters, ligatures) fall apart into plain ones, marks and
-    characters without width go.
+    Compatibility forms (wide, mathematical, enclosed and small letters, ligatures) fall apart into plain ones; loose marks
+    and characters without width go. Letters composed with a mark stay so, as another word may differ by the mark only.
     """
 
     def __missing__(self, code: int) -> str | None:
-        char = chr(code)
-        parts = [c for c in unicodedata.normalize("NFKD", char) if unicodedata.category(c) not in ("Mn", "Me", "Cf")]
-        plain = unicodedata.normalize("NFC", "".join(HOMOGLYPHS.get(c, c) for c in "".join(parts).lower()))
+        parts = [c for c in unicodedata.normalize("NFKC", chr(code)) if unicodedata.category(c) not in ("Mn", "Me", "Cf")]
+        plain = "".join(HOMOGLYPHS.get(c, c) for c in "".join(parts).lower())
         self[code] = found = plain if plain.isalnum() else " " if parts else None
         return found
 
 
-_TABLE = _Folding()
+class _Bare(dict):
+    """Code point to the letter without marks; one for one, so places stay."""
+
+    def __missing__(self, code: int) -> str:
+        first, *rest = unicodedata.normalize("NFD", chr(code))
+        self[code] = found = HOMOGLYPHS.get(first, first) if all(unicodedata.category(c) == "Mn" for c in rest) else chr(code)
+        return found
+
+
+_TABLE, _BARE = _Folding(), _Bare()
 
 
 def fold(text: str) -> str:
-    """Text with marked, wide and look-alike letters and digits as plain letters and blanks for the rest, between two blanks."""
+    """Text with wide and look-alike letters and digits as plain letters and blanks for the rest, between two blanks."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
     if "@" in text or "$" in text or "!" in text:
         text = SIGN.sub(lambda m: SIGNS[m[0]], text)
     return f" {text.translate(_TABLE)} "
@@ -168,13 +178,8 @@ class Matcher:
             self.automaton.add_word(key, (len(key), 0.0, True))
         self.automaton.make_automaton()
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        """Weight of the hits outside exception phrases on a logarithmic scale, by the logarithm of the words and by words; and their number's logarithm.
-
-        Of the beginnings that match one word the longest counts. Time is in proportion to the text.
-        """
-        folded = fold(text)
-        words = len(folded.split())
+    def _matches(self, folded: str) -> tuple[dict[int, float], list[tuple[int, int]]]:
+        """Weights by the place of the word they match, the longest beginning of each, and the stretches of exception phrases in order."""
         hits: dict[int, float] = {}
         safe: list[tuple[int, int]] = []
         for end, (n, weight, exception) in self.automaton.iter(folded):
@@ -182,9 +187,21 @@ class Matcher:
                 begin = end - n
                 while safe and safe[-1][0] >= begin:  # ends rise, so an earlier phrase that begins later is inside
                     safe.pop()
-                safe.append((begin, end))
+                safe.append((begin, end - 1))  # the blank behind a phrase begins the next word
             else:
                 hits[end - n] = weight  # ends rise, so the longest comes last
+        return hits, safe
+
+    def features(self, text: str) -> tuple[float, float, float, float]:
+        """Weight of the hits outside exception phrases on a logarithmic scale, by the logarithm of the words and by words; and their number's logarithm.
+
+        A word is matched as it is written, and where that matches nothing without its marks. Time is in proportion to the text.
+        """
+        folded = fold(text)
+        words = len(folded.split())
+        hits, safe = self._matches(folded)
+        if not folded.isascii() and (bare := folded.translate(_BARE)) != folded:
+            hits = self._matches(bare)[0] | hits
         total, k = 0.0, 0
         for at in sorted(hits):
             while k < len(safe) and safe[k][1] <= at:
