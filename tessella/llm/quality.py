@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +16,12 @@ from tessella.llm.words import word_hashes, word_spans
 
 #: Labelled documents that the field is fitted on, at most.
 SAMPLE_DOCS = 4_000
-#: Bytes of text whose features are made at once in a worker; one longer text is taken alone.
+#: Bytes of text whose features are made at once in a worker, and bytes that a line counts besides; a larger text is taken alone.
 BLOCK_BYTES = 8 << 20
+LINE_BYTES = 256
+#: Lines whose own features are held at once, and lines beyond which a document's chain is walked by itself.
+CHUNK_LINES = 1 << 15
+LONG_CHAIN = 4_096
 
 _KINDS = {
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -34,10 +39,9 @@ OWN = len(_KINDS) + 4
 FEATURES = 3 * OWN + 3
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines of all texts, the number of lines of each text, and each line's length in bytes."""
+def _own_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A line's own features and its length in bytes, for all lines of all texts."""
     data = np.frombuffer("\n".join(texts).encode() + b"\n", dtype=np.uint8)
-    lines = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
     length = (ends - starts).astype(np.float64)
@@ -56,28 +60,115 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     own[:, k + 1] = np.log1p(words) / 5
     own[:, k + 2] = np.minimum(length / np.maximum(words, 1), 40) / 20
     own[:, k + 3] = words == 0
-    first, last = np.zeros(len(starts), dtype=bool), np.zeros(len(starts), dtype=bool)
-    edge = np.cumsum(lines)
-    last[edge - 1] = True
-    first[edge - lines] = True
+    return own, length
+
+
+def _edges(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each line is the first and the last of its text."""
+    first, last = np.zeros(lines.sum(), dtype=bool), np.zeros(lines.sum(), dtype=bool)
+    ends = np.cumsum(lines)
+    last[ends - 1] = True
+    first[ends - lines] = True
+    return first, last
+
+
+def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines of all texts, the number of lines of each text, and each line's length in bytes."""
+    lines = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
+    own, length = _own_features(texts)
+    first, last = _edges(lines)
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     before[first], after[last] = 0, 0
     return np.column_stack([own, before, after, first, last, np.ones(len(own))]), lines, length
 
 
+def line_scores(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line_features times weights, with the numbers of lines and their lengths, but only CHUNK_LINES lines' features held at once."""
+    lines = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
+    parts, lengths, at = [], [], weights[: 3 * OWN].reshape(3, OWN).T
+    held: list[str] = []
+    count = 0
+
+    def take() -> None:
+        own, length = _own_features(held)
+        parts.append(own @ at)
+        lengths.append(length)
+
+    for text, n in zip(texts, lines.tolist()):
+        pieces = [text] if n <= CHUNK_LINES else ["\n".join(rows) for rows in itertools.batched(text.split("\n"), CHUNK_LINES)]
+        for piece in pieces:
+            size = min(n, CHUNK_LINES)
+            if held and count + size > CHUNK_LINES:
+                take()
+                held, count = [], 0
+            held.append(piece)
+            count += size
+    if held:
+        take()
+    part, length = np.concatenate(parts), np.concatenate(lengths)
+    first, last = _edges(lines)
+    before, after = np.zeros(len(part)), np.zeros(len(part))
+    before[1:], after[:-1] = part[:-1, 1], part[1:, 2]
+    before[first], after[last] = 0, 0
+    return part[:, 0] + before + after + first * weights[-3] + last * weights[-2] + weights[-1], lines, length
+
+
 def _lanes(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Documents from long to short, and the first line of each: step t then works on a shrinking prefix of lanes."""
     order = np.argsort(-lines, kind="stable")
     return order, (np.cumsum(lines) - lines)[order]
 
 
+def _chain(scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward-backward over the lines of one document in plain numbers, which is faster for a long one by itself."""
+    top = scores.max(axis=1)
+    emit = np.exp(scores - top[:, None]).tolist()
+    (a, b), (c, d) = np.exp(moves).tolist()
+    forward, scale = [], []
+    f, g = 1.0, 1.0
+    for k, (x, y) in enumerate(emit):
+        f, g = (f * a + g * c) * x if k else x, (f * b + g * d) * y if k else y
+        s = f + g
+        f, g = f / s, g / s
+        forward.append((f, g))
+        scale.append(s)
+    own, counts = [None] * len(emit), [0.0] * 4
+    p, q = 1.0, 1.0
+    own[-1] = forward[-1]
+    for k in range(len(emit) - 2, -1, -1):
+        x, y = emit[k + 1][0] * p / scale[k + 1], emit[k + 1][1] * q / scale[k + 1]
+        f, g = forward[k]
+        counts[0] += f * a * x
+        counts[1] += f * b * y
+        counts[2] += g * c * x
+        counts[3] += g * d * y
+        p, q = a * x + b * y, c * x + d * y
+        own[k] = (f * p / (f * p + g * q), g * q / (f * p + g * q))
+    return np.array(own), np.array(counts).reshape(2, 2), float(np.log(scale).sum() + top.sum())
+
+
 def marginals(scores: np.ndarray, lines: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over all documents at once, in numbers scaled by line.
+    """Forward-backward over all documents, in numbers scaled by line; long documents one by one, the others at once.
 
     scores: (lines, 2) log potentials, moves: (2, 2) log potentials of neighbouring labels. Returns the marginals of each
     line, the expected counts of moves, and the log normaliser of each document.
     """
+    long = lines > LONG_CHAIN
+    if not long.any():
+        return _marginals(scores, lines, moves)
+    own, counts, logs = np.empty_like(scores), np.zeros((2, 2)), np.empty(len(lines))
+    in_short, ends = np.repeat(~long, lines), np.cumsum(lines)
+    own[in_short], counts, logs[~long] = _marginals(scores[in_short], lines[~long], moves)
+    for d in np.flatnonzero(long).tolist():
+        span = slice(ends[d] - lines[d], ends[d])
+        own[span], more, logs[d] = _chain(scores[span], moves)
+        counts = counts + more
+    return own, counts, logs
+
+
+def _marginals(scores: np.ndarray, lines: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over all documents at once: step t works on all that have a line t."""
     order, first = _lanes(lines)
     sizes = lines[order]
     top = scores.max(axis=1, keepdims=True)
@@ -113,8 +204,7 @@ class Field:
 
     def goodness(self, texts: list[str]) -> np.ndarray:
         """Log-odds of the length-weighted mean of the lines' marginals, for each text."""
-        x, lines, length = line_features(texts)
-        good = x @ np.array(self.weights)
+        good, lines, length = line_scores(texts, np.array(self.weights))
         own, _, _ = marginals(np.column_stack([np.zeros(len(good)), good]), lines, np.array(self.moves))
         edges = np.cumsum(lines) - lines
         weight = length + 1
@@ -161,7 +251,8 @@ def score_quality(docs: DataFrame, field: Field, folds: int = 4, held_out: int =
     """Adds held_out, score and predicted to docs; columns of these names are replaced, others stay.
 
     Every whole text is scored on its own; null and empty texts are one empty line. A null doc_id is in no held-out fold.
-    Rows that repeat get equal scores. An empty table gives no rows. No shuffle; memory is a block of texts' features.
+    Rows that repeat get equal scores. An empty table gives no rows. No shuffle. Memory is a block of texts and some numbers
+    for each of its lines; of a long text the features of CHUNK_LINES lines are held at once.
     """
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     base = docs.select(*kept, F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"))
@@ -171,11 +262,12 @@ def score_quality(docs: DataFrame, field: Field, folds: int = 4, held_out: int =
     def blocks(texts):
         block, size = [], 0
         for text in texts:
-            if block and size + 4 * len(text) > BLOCK_BYTES:
+            own = 4 * len(text) + LINE_BYTES * text.count("\n")
+            if block and size + own > BLOCK_BYTES:
                 yield block
                 block, size = [], 0
             block.append(text)
-            size += 4 * len(text)
+            size += own
         if block:
             yield block
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -12,11 +13,16 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int) -> list[tuple[str, int, float]]:
-    """(text, label, weight) of at most `limit` documents outside the held-out fold: half of each label where there are enough.
+#: Bytes of text that a sample brings to the driver, at most.
+SAMPLE_BYTES = 64 << 20
 
-    Documents are chosen by a hash of the id; weights restore the labels' shares among all labelled rows outside the fold.
-    Rows with a null id or label are left out; of an id that is labelled twice the larger label counts.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int, limit_bytes: int = SAMPLE_BYTES) -> list[tuple[str, int, float]]:
+    """(text, label, weight) of at most `limit` labelled ids outside the held-out fold: half of each label where there are enough.
+
+    Documents are chosen by a hash of the id, as long as their texts take limit_bytes together; one that doesn't fit is left
+    out, so is the second and further row of an id. Weights restore the labels' shares among all labelled rows outside the
+    fold. Rows with a null id or label are left out; of an id that is labelled twice the larger label counts.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL AND y IN (0, 1)")
     known = known.filter(fold_of(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -27,8 +33,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     for y in (0, 1):
         own = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(take[y])
         chosen = own if chosen is None else chosen.unionByName(own)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")  # `limit` rows at most are broadcast
-    rows = sorted(rows.limit(2 * limit).collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
+    # `limit` rows at most are broadcast
+    sized = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).join(F.broadcast(chosen), "doc_id")
+    one = sized.groupBy("doc_id", "y").agg(F.min(F.struct("mark", "bytes")).alias("of")).select("doc_id", "y", "of.mark", "of.bytes").orderBy(F.xxhash64("doc_id"), "doc_id")
+    left, wanted = limit_bytes, []
+    for r in one.collect():
+        if r["bytes"] <= left:
+            left -= r["bytes"]
+            wanted.append((r["doc_id"], r["mark"], r["y"]))
+    if not wanted:
+        return []
+    listed = docs.sparkSession.createDataFrame(wanted, T.StructType([docs.schema["doc_id"], T.StructField("mark", T.LongType()), T.StructField("y", T.IntegerType())]))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(F.broadcast(listed), ["doc_id", "mark"]).dropDuplicates(["doc_id"])
+    rows = sorted(texts.select("doc_id", "text", "y").collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
     got = {y: sum(r["y"] == y for r in rows) for y in (0, 1)}
     return [(r["text"] or "", r["y"], count[r["y"]] / got[r["y"]] * len(rows) / sum(count.values())) for r in rows]
 
