@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bytes of payload in a block.
+#: Bytes of payload in a block, blocks that are transformed at once, and bytes of media whose tensors are held at once.
 UNIT = 64
+CHUNK_BLOCKS = 1 << 14
+READ_BYTES = 4 << 20
 #: Zigzag position of each coefficient in natural order, by the diagonal rule.
 _CELLS = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))
 ZIGZAG = np.array([8 * r + c for r, c in _CELLS])
@@ -373,8 +375,10 @@ class Reader:
         """Samples of each component at full resolution: inverse transform, then chroma repeated to the size of luma."""
         out = []
         for c in self.components.values():
-            samples = (c.blocks * self.quant[c.quant]).astype(np.float64) @ _INVERSE
-            samples = np.clip(np.floor(samples / 4096 + 0.5) + 128, 0, 255).astype(np.uint8)
+            samples = np.empty((len(c.blocks), 64), dtype=np.uint8)
+            for k in range(0, len(samples), CHUNK_BLOCKS):
+                wide = (c.blocks[k : k + CHUNK_BLOCKS] * self.quant[c.quant]).astype(np.float64) @ _INVERSE
+                samples[k : k + CHUNK_BLOCKS] = np.clip(np.floor(wide / 4096 + 0.5) + 128, 0, 255)
             rows = len(c.blocks) // c.stride
             plane = samples.reshape(rows, c.stride, 8, 8).transpose(0, 2, 1, 3).reshape(8 * rows, 8 * c.stride)
             plane = plane.repeat(self.v // c.v, axis=0).repeat(self.h // c.h, axis=1)
@@ -386,15 +390,18 @@ class Reader:
         planes = self.planes()
         if len(planes) != 3:
             return np.repeat(planes[0][:, :, None], 3, axis=2)
-        y, cb, cr = planes[0].astype(np.int32) << 16, planes[1].astype(np.int32) - 128, planes[2].astype(np.int32) - 128
         out = np.empty((*planes[0].shape, 3), dtype=np.uint8)
-        for k, x in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
-            out[:, :, k] = np.clip((x + 32768) >> 16, 0, 255)
+        step = max(1, 64 * CHUNK_BLOCKS // self.width)
+        for k in range(0, self.height, step):
+            y, cb, cr = (p[k : k + step].astype(np.int32) for p in planes)
+            y, cb, cr = y << 16, cb - 128, cr - 128
+            for channel, x in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
+                out[k : k + step, :, channel] = np.clip((x + 32768) >> 16, 0, 255)
         return out
 
 
 def feature(rgb: np.ndarray) -> str:
-    """Size, channel means, mean squares and a checksum of an RGB tensor, in whole numbers."""
+    """Size, channel means in thousandths and a checksum of an RGB tensor, in whole numbers."""
     flat = rgb.reshape(-1, 3)
     total = flat.sum(axis=0, dtype=np.int64)
     n = len(flat)
@@ -405,7 +412,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and media, a progressive JPEG of each text as UTF-8, filled with zeros to a positive multiple of 64.
 
     Null and empty texts are one block of zeros. Rows that repeat give equal rows; an empty table gives no rows. No shuffle.
-    A text may have up to about 6 billion bytes, the largest image of the format.
+    Other columns are not read. A medium takes about 1.03 times its text, and an RGB tensor twice, so texts may have up to 1 GB
+    where tensors are kept, as a value of Spark ends at 2 GB. A text is coded whole in one task, which takes about 12 times its bytes.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -427,7 +435,8 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def read_media(stored: DataFrame, keep_tensors: bool = False) -> DataFrame:
     """What the stored bytes hold: doc_id, n_bytes, payload digests, media digests and feature; with keep_tensors also rgb, height and width.
 
-    stored: doc_id, n_bytes and media as store_texts makes them. A null medium gives nulls.
+    stored: doc_id, n_bytes and media as store_texts makes them. A null medium gives nulls. A tensor is its bytes in the order
+    height, width, channel, at full resolution.
     """
     kind = stored.schema["doc_id"].dataType
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -447,10 +456,13 @@ def read_media(stored: DataFrame, keep_tensors: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                columns = list(zip(*(one(m) for m in part.column(2).to_pylist())))
-                arrays = [pa.array(c, f) for c, f in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *arrays], names=schema.names)
+            rows, begin, held = [], 0, 0
+            for end, media in enumerate(batch.column(2).to_pylist(), 1):
+                rows.append(one(media))
+                held += len(media or b"")
+                if held >= READ_BYTES or end == batch.num_rows:
+                    arrays = [pa.array(c, f) for c, f in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, end - begin).columns[:2], *arrays], names=schema.names)
+                    rows, begin, held = [], end, 0
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

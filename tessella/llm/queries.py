@@ -111,7 +111,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_media(store_texts(table(spark, sf_dir, "documents")))
+    return read_media(store_texts(table(spark, sf_dir, "documents")), keep_tensors=True)
 
 
 def queries() -> dict[str, Query]:
