@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -120,11 +121,13 @@ def common_parts(hashes: np.ndarray, percent: int) -> np.ndarray:
     """Keys of all parts of a small set that leave out no more than a linked set may lack."""
     each = mix64(hashes ^ np.uint64(0x2545F4914F6CDD1D))
     n, total = len(each), each.sum(dtype=np.uint64)
-    out = []
-    for gone in range(n - -(-percent * n // 100) + 1):
-        sums = np.array([each[list(c)].sum(dtype=np.uint64) for c in itertools.combinations(range(n), gone)], dtype=np.uint64)
-        out.append(total - sums + np.uint64(n - gone))
-    return mix64(np.concatenate(out)).view(np.int64)
+    gone = range(n - -(-percent * n // 100) + 1)
+    return mix64(np.concatenate([total - each[_combinations(n, k)].sum(axis=1, dtype=np.uint64) + np.uint64(n - k) for k in gone])).view(np.int64)
+
+
+@functools.cache
+def _combinations(n: int, k: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), k)), dtype=np.int64).reshape(math.comb(n, k), k)
 
 
 def sketches(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -303,15 +306,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             made = [s.tobytes() for block in text_blocks([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]) for s in shingle_sets(block)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
 
-    def whole(dealt: DataFrame) -> DataFrame:
-        of = dealt.join(nodes.select("node", "doc_id", "text_hash", "small", "sig"), "node").join(texts, ["doc_id", "text_hash"])  # a row that repeats only repeats a comparison
-        return of.select("key", "i", "j", "side", "node", "small", "sig", "text").mapInArrow(sets, "key bigint, i bigint, j bigint, side int, node bigint, small boolean, sig binary, shingles binary")
-
-    links = components(_links(ids, whole, CLUSTER_BLOCK, percent, lambda rows: _grouped(rows, percent)))
+    # Only the sets of cluster members are written; all comparisons read these, so the texts are moved once.
+    of = ids.select("node").join(nodes.select("node", "doc_id", "text_hash", "small", "sig"), "node").join(texts, ["doc_id", "text_hash"])  # a row that repeats only repeats a comparison
+    held = park(of.select("node", "small", "sig", "text").mapInArrow(sets, "node bigint, small boolean, sig binary, shingles binary"), "cluster-sets")
+    links = components(_links(ids, lambda dealt: dealt.join(held, "node"), CLUSTER_BLOCK, percent, lambda rows: _grouped(rows, percent)))
     found = nodes.select("node", "c1", "c2", "doc_id").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = park(found, "found")
     smallest = park(found.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
-    forget(nodes, shared, placed, clusters, weighed, sizes, ids, links)
+    forget(nodes, shared, placed, clusters, weighed, sizes, ids, held, links)
     by_set = found.join(smallest, "component").select("c1", "c2", "component_id")
     takes_part = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     rows = all_docs.select("doc_id", "n_shingles", *[F.when(takes_part, F.col(c)).alias(c) for c in ("c1", "c2")])
