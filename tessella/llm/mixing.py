@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import re
 from collections.abc import Iterable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessella.llm.common import park, word_count
+from tessella.llm.common import WORD, park, word_count
 
 #: Documents and bytes of payload that a leaf of the reduction tree gets on average, and residuals that a node combines.
 LEAF_ROWS = 512
@@ -68,24 +72,27 @@ def pivot(sizes: list[int], shares: list[float], draw: random.Random) -> tuple[l
     return out, carry
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, cut_last: bool = False, payload: Iterable[str] = ("doc_id",), carries_text: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, cut_last: bool = True, payload: Iterable[str] = ("doc_id",), carries_text: bool = False) -> DataFrame:
     """Chooses how many times each document goes into a mix that has `share` times all words, by source weights.
 
     Columns of the result: `payload` columns of docs, then source, size (words), source_size, target (of its source),
-    copies and taken (words). Each document gets the whole copies that its source's ratio has and at most one more, so size times copies is
-    at most `cap` times its size where cap is whole. A source's words differ from its target by one document's at most;
-    with cut_last by less than a word.
+    copies and taken (words). Each document gets the whole copies that its source's ratio has and at most one more, so what
+    is taken is at most `cap` times its size where cap is whole.
 
     The tree: documents of a source are dealt by hash to leaves, each leaf rounds its documents, longest first, to at
-    most one fractional document; FAN_IN residuals meet in a node of the next level, up to one node for each source, whose
-    last residual is rounded by a draw, or with cut_last taken for as many of its words as its share is. A hot source has more leaves, never a larger one. Draws depend on seed and node,
-    and leaves are ordered by content, so reruns agree.
+    most one fractional document; FAN_IN residuals meet in a node of the next level, up to one node for each source. Of its
+    last residual as many words are taken as its share is, so a source's words differ from its target by less than one;
+    without cut_last a draw rounds it, and they differ by its words at most. A hot source has more leaves, never a larger
+    one. Draws depend on seed and node, and leaves are ordered by content, so reruns agree.
 
     docs needs doc_id, text and source. Null texts have size 0; documents of size 0 get the whole copies of their source.
-    A null source is a source of its own, after all others. Rows that repeat are chosen each on their own. An empty table
-    gives no rows. carries_text: the payload holds the texts, so leaves are bounded by their bytes too.
+    A null source is a source of its own, after all others. Rows that repeat are chosen each on their own; equal sizes are
+    ordered by a hash of content. Texts of any length are counted whole. A payload may not be named as a column of the
+    result. An empty table gives no rows. carries_text: the payload holds the texts, so leaves are bounded by their bytes too.
     """
     payload = list(payload)
+    if clash := {"source", "size", "source_size", "target", "copies", "taken"} & {p.lower() for p in payload}:
+        raise ValueError(f"payload named as a column of the result: {sorted(clash)}")
     carried = F.struct(*payload)
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)) if carries_text else F.lit(16)
     own = [carried.alias("payload"), "source", word_count(F.col("text")).alias("size"), bytes_.alias("bytes")]
@@ -154,7 +161,25 @@ def _node(level: int, seed: int, last: bool, cut_last: bool):
     return run
 
 
+@F.pandas_udf(T.StringType())
+def _first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
+    """Texts up to the end of their n-th word; null for null."""
+
+    def one(text: str | None, n: int) -> str | None:
+        ends = (m.end() for m in re.finditer(WORD, text or ""))
+        return None if text is None else text[: next(itertools.islice(ends, n - 1, None), 0) if n else 0]
+
+    return pd.Series([one(t, n) for t, n in zip(texts, words)], dtype=object)
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as many times as it was chosen, with the columns of docs."""
+    """The mix itself: each document as many times as it was chosen, with the columns of docs.
+
+    What mix takes beyond whole copies, which is part of one document of a source, is its first words.
+    """
     chosen = mix(docs.select(F.struct("*").alias("whole_row"), "doc_id", "text", "source"), payload=("whole_row",), carries_text=True, **options)
-    return chosen.filter("copies > 0").select(F.explode(F.array_repeat("whole_row", F.col("copies"))).alias("r")).select("r.*")
+    rest = (F.col("taken") - F.col("size") * F.col("copies")).alias("rest")
+    parts = chosen.select("whole_row", "copies", rest).withColumn("start", _first_words(F.when(F.col("rest") > 0, F.col("whole_row.text")), F.col("rest")))
+    pieces = F.concat(F.array_repeat(F.lit(False), F.col("copies")), F.when(F.col("rest") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    each = parts.select("whole_row", "start", F.explode(pieces).alias("cut"))
+    return each.select(F.when(F.col("cut"), F.col("whole_row").withField("text", F.col("start"))).otherwise(F.col("whole_row")).alias("r")).select("r.*")

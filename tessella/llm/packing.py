@@ -54,11 +54,13 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, quadrati
 
     A document's ids are those of its text and end_id. Whole runs of `size` ids make sequences of their own; the rest is
     balanced by cost within windows of WINDOW_SEQUENCES sequences. Windows stay inside a task, so there is no shuffle, no
-    hot key and at most one sequence's padding for each window; memory is a window's ids. A task that runs again gives the
-    same rows, as its rows and number are the same.
+    hot key and at most one sequence's padding for each window; memory is a window's ids and the ids of one text. Sequences
+    are numbered by task and place, so a task that runs again gives the same rows where its input has the same order, as a
+    table that is scanned has. Behind a shuffle, which promises no order, park docs first.
 
-    docs needs doc_id and text. Null or empty texts are one piece, end_id alone. Rows that repeat are packed each on their
-    own. An empty table gives no rows. Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with
+    docs needs doc_id and text; other columns are not read. Null or empty texts are one piece, end_id alone. Texts of any
+    length are cut into whole sequences as they come. Rows that repeat are packed each on their own, equal lengths in the
+    order they come. An empty table gives no rows. Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with
     keep_ids the ids as array<int>.
     """
     fields = [docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))]

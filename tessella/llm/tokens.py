@@ -169,7 +169,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, frequent: list[s
     """Bytes and tokens of every text, without any shuffle of the texts' words.
 
     docs needs doc_id (any type) and text; other columns are not read. Null texts count as empty: 0 bytes, 0 tokens.
-    Rows that repeat are counted each. `frequent` may bring an earlier list of chunks; otherwise one pass over all texts
+    Texts of any length are counted whole, a chunk at a time. Rows that repeat are counted each. An empty table gives no rows. `frequent` may bring an earlier list of chunks; otherwise one pass over all texts
     makes it. Its lengths are broadcast, FREQUENT_ENTRIES chunks of LONGEST_KEPT characters at most.
     """
     spark = docs.sparkSession

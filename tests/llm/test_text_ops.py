@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,70 @@ def test_articles_keep_lines_that_others_cite(spark):
     assert texts(spark, [(1, "http://a.com/1", page.format("A")), (2, "http://a.com/2", page.format("B"))]) == {1: "A\nCited.", 2: "B\nCited."}
 
 
+def test_long_pages_align_in_little_memory():
+    import tracemalloc
+
+    a = [i if i % 7 else -1 for i in range(12_000)]
+    b = [x for i, x in enumerate(a) if i % 5] + [-2] * 50
+    tracemalloc.start()
+    found = pages.shared_lines([-3, *a], [-4, *b])
+    assert len(found) == 9_600 and tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page, other = "<body><div>Menu</div><p>Text of the page</p></body>", "<body><div>Menu</div><p>Another</p></body>"
+    rows = [(i, "http://a.com/p", page) for i in range(40)] + [(50, "http://a.com/q", other), (1, "http://b.com/p", page), (2, "http://b.com/p", page)]
+    found = collections.Counter((r["page_id"], r["url"], r["text"]) for r in pages.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
+    want = [(i, "http://a.com/p", "Text of the page") for i in range(40)] + [(50, "http://a.com/q", "Another")] + [(i, "http://b.com/p", "Menu\nText of the page") for i in (1, 2)]
+    assert found == collections.Counter(want)
+
+
+def test_pages_by_brute_force(spark):
+    """Every page against a plain statement of the rule: the nearest other content of the host, a quadratic alignment, then the marks."""
+    draw = random.Random(11)
+    menus = {h: [f"{h} link {i}" for i in range(6)] for h in ("a.com", "b.com", "c.com")}
+    rows = []
+    for i in range(60):
+        host = draw.choice(["a.com", "a.com", "b.com", "c.com"])
+        body = [f"own {draw.randrange(30)} of it" for _ in range(draw.randrange(5))]
+        parts = [f"<div>{x}</div>" for x in menus[host] if draw.random() < 0.8] + [f"<p>{x}</p>" for x in body] + [f"<div class='ad'>buy {i}</div>", f"<div>end of {host}</div>"]
+        if draw.random() < 0.4:
+            parts = [*parts[:4], "<article>", *parts[4:-2], f"<p><a href='/'>{host} more</a></p>", "</article>", *parts[-2:]]
+        rows.append((i, f"http://{host}/{draw.choice('xyz')}/{draw.randrange(300)}", "".join(parts)))
+    rows += [(100 + i, u, h) for i, (_, u, h) in enumerate(rows[:8])]  # copies
+
+    def common(a, b):
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+        return n[-1][-1]
+
+    host_path = lambda u: (u.split("/")[2], "/" + u.split("/", 3)[3])
+    blocks = {i: pages.lines_of(h) for i, _, h in rows}
+    got = {r["page_id"]: r for r in pages.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    changed = 0
+    for i, url, _ in rows:
+        host, path = host_path(url)
+        own = [x.text for x in blocks[i]]
+        others = [(k, host_path(u)[1]) for k, u, _ in rows if host_path(u)[0] == host and [x.text for x in blocks[k]] != own]
+        alike = lambda p: (1 << 30) if p == path else next((n for n, (x, y) in enumerate(zip(p, path)) if x != y), min(len(p), len(path)))
+        best = max(alike(p) for _, p in others)
+        stays = {common(own, [x.text for x in blocks[k]]) for k, p in others if alike(p) == best}
+        marked = any(x.core and not x.out for x in blocks[i])
+        plain = [x for x in blocks[i] if not (x.out or marked and not x.core)]
+        text = got[i]["text"].split("\n") if got[i]["text"] else []
+        assert got[i]["n_lines"] == len(own) and got[i]["n_shared"] + got[i]["n_marked"] + len(text) == len(own)
+        firm = [x.text for x in plain if x.core and x.linked < 0.5]
+        assert firm == [x for x in text if x in firm] and set(text) <= {x.text for x in plain}
+        assert got[i]["n_shared"] <= max(stays)
+        if not marked:
+            assert got[i]["n_shared"] in stays
+            changed += [x.text for x in plain] != text
+    assert changed > 20
+
+
 def test_page_edge_cases(spark):
     found = texts(spark, [(1, None, None), (2, None, ""), (3, "no url", "<p>x</p>"), (None, "http://a/", "<p>y</p>"), (3, "no url", "<p>x</p>")])
     assert found[1] == "" and found[2] == "" and found[None] == "y" and found[3] == "x"
@@ -125,6 +190,34 @@ def test_line_edge_cases(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
     by_name = spark.createDataFrame([("a", line), ("b", line), ("c", line)], "doc_id string, text string")
     assert {r["doc_id"]: r["n_dropped"] for r in linededup.dedup_lines(by_name).collect()} == {"a": 1, "b": 1, "c": 0}
+    clash = ["own", "own_id", "own_hash", "own_lines", "dropped_id", "dropped_hash", "dropped_at", "h", "hs", "pos", "last"]
+    odd = df.drop("n_lines").select("*", *[F.lit(c).alias(c) for c in clash])
+    got = linededup.dedup_lines(odd)
+    assert got.columns == ["doc_id", "text", *clash, "n_lines", "n_dropped"] and got.filter(" AND ".join(f"{c} = '{c}'" for c in clash)).count() == 7
+    long = spark.createDataFrame([(i, "\n".join([f"line {k} of very many lines" for k in range(30_000)] + [str(i)])) for i in range(3)], "doc_id bigint, text string")
+    assert {r["doc_id"]: (r["n_dropped"], r["text"]) for r in linededup.dedup_lines(long).filter("doc_id < 2").collect()} == {i: (30_000, str(i)) for i in range(2)}
+
+
+def test_ids_without_numbers_come_in_batches_too(spark, monkeypatch):
+    taken = []
+    own = linededup.LineRuns.add
+    monkeypatch.setattr(linededup.LineRuns, "add", lambda self, batch: (taken.append(batch.count()), own(self, batch))[1])
+    rows = [(f"id{i:03d}", f"a line that {i % 20} documents have") for i in range(200)]
+    found = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string"), batches=4).collect()
+    assert len(taken) == 4 and min(taken) > 0 and sum(r["n_dropped"] for r in found) == 180 and {r["doc_id"] for r in found if not r["n_dropped"]} == {f"id{i:03d}" for i in range(180, 200)}
+
+
+def test_runs_are_joined_without_an_exchange(spark):
+    runs = linededup.LineRuns(spark, fan_in=3)
+    lines = spark.createDataFrame([(f"{i % 40:032x}", i) for i in range(400)] + [("once", 5), ("twice", 250), ("twice", 3)], "h string, doc_id bigint")
+    for low in (380, 300, 270, 200, 100, 0):
+        part = lines.filter(f"doc_id >= {low} AND doc_id < {dict([(380, 400), (300, 380), (270, 300), (200, 270), (100, 200), (0, 100)])[low]}")
+        plan = runs.counted(part)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1  # the batch's own
+        runs.add(part)
+    assert [len(x) for x in runs.levels] == [0, 2]
+    assert sorted((r["h"], r["last"]) for r in runs.settled().collect()) == [(f"{i % 40:032x}", i) for i in range(360, 400)]
+    runs.close()
 
 
 # --- near-duplicates
@@ -245,16 +338,67 @@ def test_mix_over_many_leaves(spark, monkeypatch):
     draw = random.Random(4)
     rows = [(i, " ".join(["w"] * draw.randrange(40)), "hot" if i % 3 else f"s{i % 7}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    a = mixing.mix(df, cut_last=True).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, mixing.mix(df.repartition(7), cut_last=True).collect()))
+    a = mixing.mix(df).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()))
     assert len(a) == 400 and all(0 <= r["taken"] <= 2 * r["size"] for r in a)
     for source in {r["source"] for r in a}:
         own = [r for r in a if r["source"] == source]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and own[0]["source_size"] == sum(r["size"] for r in own)
-    whole = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    whole = {r["doc_id"]: r for r in mixing.mix(df, cut_last=False).collect()}
     assert all(r["taken"] == r["size"] * r["copies"] for r in whole.values())
-    copies = collections.Counter(r["doc_id"] for r in mixing.mixed_documents(df).collect())
+    copies = collections.Counter(r["doc_id"] for r in mixing.mixed_documents(df, cut_last=False).collect())
     assert copies == {i: r["copies"] for i, r in whole.items() if r["copies"]}
+    words = collections.Counter()
+    for r in mixing.mixed_documents(df).collect():
+        words[r["doc_id"]] += len(r["text"].split())
+    assert {i: n for i, n in words.items() if n} == {r["doc_id"]: r["taken"] for r in a if r["taken"]}
+
+
+def test_mix_by_a_plain_tree(spark, monkeypatch):
+    """The whole mix against pivotal rounding written out document by document, with leaves and nodes as plain lists."""
+    monkeypatch.setattr(mixing, "LEAF_ROWS", 16)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    draw = random.Random(8)
+    rows = [(i, " ".join(["w"] * draw.choice([0, 1, 5, 5, 5, 30, 200])), draw.choice(["hot", "hot", "hot", "b", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    marks = {r["doc_id"]: r["m"] for r in df.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(17)).alias("m")).collect()}
+    sizes = {i: len(t.split()) for i, t, _ in rows}
+    order = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total, want = sum(sizes.values()), {}
+    targets = mixing.source_targets([(s, sum(sizes[i] for i, _, x in rows if x == s)) for s in order], (5, 2, 1), 1.5, 2.0)
+    assert abs(sum(targets.values()) - 1.5 * total) < 1e-6
+    for source in order:
+        own = [i for i, _, s in rows if s == source]
+        ratio = min(2.0, targets[source] / sum(sizes[i] for i in own))
+        share = {i: ratio - int(ratio) if sizes[i] else 0.0 for i in own}
+        count, level = -(-len(own) // 16), 0
+        groups = {k: [i for i in own if marks[i] % count == k] for k in range(count)}
+        while True:
+            left = {}
+            for k, ids in groups.items():
+                carry, toss = None, random.Random(f"17/{level}/{source}/{k}")
+                for i in sorted(ids, key=lambda i: (-sizes[i], marks[i])):
+                    if not 0 < share[i] < 1:
+                        continue
+                    if carry is None:
+                        carry = i
+                        continue
+                    a, b = carry, i
+                    give = {True: min(sizes[a] * (1 - share[a]), sizes[b] * share[b]), False: min(sizes[a] * share[a], sizes[b] * (1 - share[b]))}
+                    up = toss.random() * (give[True] + give[False]) < give[False]
+                    moved = give[up] if up else -give[up]
+                    share[a], share[b] = share[a] + moved / sizes[a], share[b] - moved / sizes[b]
+                    for x in (a, b):
+                        share[x] = round(share[x], 12) if abs(share[x] - round(share[x])) < 1e-9 else share[x]
+                    carry = next((x for x in (a, b) if 0 < share[x] < 1), None)
+                if carry is not None:
+                    left.setdefault(k // 4, []).append(carry)
+            if count == 1:
+                break
+            groups, count, level = left, -(-count // 4), level + 1
+        want |= {i: round(sizes[i] * (int(ratio) + share[i])) for i in own}
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(df).collect()}
+    assert sum(abs(got[i] - want[i]) > 1 for i in want) == 0 and sum(got.values()) == pytest.approx(1.5 * total, abs=3)
 
 
 def test_mix_edge_cases(spark):
@@ -263,6 +407,11 @@ def test_mix_edge_cases(spark):
     out = mixing.mix(df)
     assert sorted(r["size"] for r in out.collect()) == [0, 0, 0, 2, 3]
     assert mixing.mixed_documents(df).columns == ["doc_id", "text", "source", "copies"]
+    with pytest.raises(ValueError, match="size"):
+        mixing.mix(df.withColumn("size", F.lit(1)), payload=("doc_id", "size"))
+    assert mixing._first_words.func(pd.Series(["  a b\tc ", None, "a"]), pd.Series([2, 1, 0])).tolist() == ["  a b", None, ""]
+    long = spark.createDataFrame([(1, "w " * 300_000, "s"), (2, "w", "s")], "doc_id bigint, text string, source string")
+    assert {r["size"] for r in mixing.mix(long).collect()} == {300_000, 1}
     assert mixing.mix(df.limit(0)).count() == 0
 
 

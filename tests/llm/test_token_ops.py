@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessella.llm import jpeg, packing, quality, tokens, toxicity, vectors, words
+from tessella.llm import jpeg, packing, quality, samples, tokens, toxicity, vectors, words
 from tessella.llm.queries import queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -232,6 +232,87 @@ def test_folding_and_exceptions():
     assert density("videotrash myidiot") == 0 and density("") == 0
 
 
+def test_look_alike_letters_are_folded():
+    match = toxicity.Matcher(toxicity.Lexicon((("idiot", 3.0), ("réeux", 2.0)), (), (1.0, 0.0, 0.0, 0.0, 0.0)))
+    for word in ("idiot", "ïdiöt", "idiòt", "𝐢𝐝𝐢𝐨𝐭", "ⅰdiot", "ιdıot", "1D10T", "ｉｄｉｏｔ", "i\u0301diot", "i\u200bdiot", "ⓘⓓⓘⓞⓣ", "idіоt"):
+        assert match.features(f"you {word}")[0] > 0, word
+    assert match.features("réeux")[0] > 0 and match.features("re\u0301eux")[0] > 0 and match.features("reeux")[0] == 0
+
+
+def test_lexicon_by_naive_scan():
+    draw = random.Random(6)
+    weights = {w: float(k + 1) for k, w in enumerate(("ab", "abc", "b", "ca ", "cab", "bb "))}
+    phrases = ("ab ca", "b b", "cab ab b")
+    match = toxicity.Matcher(toxicity.Lexicon(tuple(weights.items()), phrases, (1.0, 0.0, 0.0, 0.0, 0.0)))
+    for _ in range(500):
+        folded = toxicity.fold(" ".join("".join(draw.choice("abc") for _ in range(draw.randrange(1, 5))) for _ in range(draw.randrange(12))))
+        safe = [(i, i + len(p) + 1) for p in phrases for i in range(len(folded)) if folded.startswith(f" {p} ", i)]
+        total = 0.0
+        for i, c in enumerate(folded):
+            found = [w for w in weights if folded.startswith(f" {w}", i)]
+            if found and not any(a <= i < b for a, b in safe):
+                total += weights[max(found, key=len)]
+        assert np.isclose(match.features(folded)[0], np.arcsinh(total)), folded
+
+
+def test_exception_phrases_take_time_in_proportion():
+    import time
+
+    match = toxicity.Matcher(toxicity.Lexicon((("trash", 2.0),), toxicity.EXCEPTIONS, (1.0, 0.0, 0.0, 0.0, 0.0)))
+    began = time.perf_counter()
+    assert match.features("trash can " * 200_000)[0] == 0 and time.perf_counter() - began < 5
+
+
+def test_the_caller_s_lists_are_taken():
+    sample = [("some plain words here", 0, 1.0), ("some zork words here", 1, 1.0)] * 3
+    lexicon = toxicity.fit_lexicon(sample, least=9, seeds=("blarg",), exceptions=("blarg day",))
+    assert [w for w, _ in lexicon.weights] == ["blarg"] and lexicon.exceptions == ("blarg day",)
+
+
+def test_quality_in_pieces_is_quality_whole(monkeypatch):
+    draw = np.random.default_rng(4)
+    texts = ["a b\nc D d\n\nE!", "", "x y\n" * 40, "one", "7\n8 8"]
+    field = quality.Field(tuple(draw.normal(size=quality.FEATURES)), ((0.3, -0.2), (0.1, 0.4)), (1.0, 0.2))
+    features, lines, _ = quality.line_features(texts)
+    good = features @ np.array(field.weights)
+    want = []
+    for d, text in enumerate(texts):  # marginals by all labellings of up to 12 lines, else by the chain alone
+        at, n = lines[:d].sum(), lines[d]
+        size = np.array([len(x.encode()) + 1 for x in text.split("\n")])
+        s = np.column_stack([np.zeros(n), good[at : at + n]])
+        own = quality._chain(s, np.array(field.moves))[0] if n > 12 else None
+        if own is None:
+            own, total = np.zeros((n, 2)), 0.0
+            for code in range(2**n):
+                y = [code >> i & 1 for i in range(n)]
+                weight = np.exp(sum(s[i, y[i]] for i in range(n)) + sum(field.moves[a][b] for a, b in zip(y, y[1:])))
+                total += weight
+                own[np.arange(n), y] += weight
+            own /= total
+        mean = (own[:, 1] * size).sum() / size.sum()
+        want.append(1 / (1 + np.exp(-(np.log(mean / (1 - mean)) + 0.2))))
+    for chunk, chain in ((1 << 15, 4096), (3, 2), (1, 1)):
+        monkeypatch.setattr(quality, "CHUNK_LINES", chunk)
+        monkeypatch.setattr(quality, "LONG_CHAIN", chain)
+        assert np.allclose(field.score(texts), want)
+
+
+def test_quality_of_a_text_of_very_many_lines():
+    import tracemalloc
+
+    field = quality.Field((0.1,) * quality.FEATURES, ((0.1, 0.0), (0.0, 0.1)), (1.0, 0.0))
+    tracemalloc.start()
+    assert 0 <= field.score(["\n" * 200_000])[0] <= 1 and tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(40)] + [(0, "y"), (None, "z")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    found = samples.labelled_sample(docs, labels, "toxic", 3, 1, 100, limit_bytes=5500)
+    assert 5 <= len(found) <= 6 and sum(len(t) for t, _, _ in found) <= 5500 and len(samples.labelled_sample(docs, labels, "toxic", 3, 1, 100)) == len(samples.labelled_sample(docs.dropDuplicates(), labels, "toxic", 3, 1, 100))
+
+
 def test_scorers_edge_cases(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None), (4, 1, 0), (5, 0, 1)], "doc_id bigint, quality int, toxic int")
     for module, score in ((quality, quality.score_quality), (toxicity, toxicity.score_toxicity)):
@@ -258,6 +339,19 @@ def test_media_round_trip(odd, small):
     assert jpeg.read_media(jpeg.store_texts(odd.limit(0))).count() == 0
 
 
+def test_tensors_are_stored(odd, monkeypatch):
+    monkeypatch.setattr(jpeg, "READ_BYTES", 4000)
+    rows = jpeg.read_media(jpeg.store_texts(odd.select("doc_id", "text", F.lit("x").alias("rgb"))), keep_tensors=True).collect()
+    assert len(rows) == len(ODD) + 2
+    for r in rows:
+        rgb = np.frombuffer(r["rgb"], dtype=np.uint8).reshape(r["height"], r["width"], 3)
+        assert jpeg.feature(rgb) == r["feature"] and r["height"] % 16 == r["width"] % 16 == 0
+    whole = jpeg.Reader(jpeg.encode_payloads([bytes(range(256)) * 40])[0])
+    want = whole.rgb()
+    monkeypatch.setattr(jpeg, "CHUNK_BLOCKS", 5)
+    assert (whole.rgb() == want).all()
+
+
 def test_array_and_symbol_readers_agree():
     draw = random.Random(1)
     for n in (64, 448, 64 * 60):
@@ -325,9 +419,30 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
-def test_one_row_of_each_group_stays(spark):
-    import corpus_pipeline
+def test_stages_take_odd_documents(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    line = "a line that is long enough to be counted"
+    rows = [(1, None, None, None, None), (None, "text without id", "en", "s", 3), (2, "", "en", "s", 0), (3, "x y", None, None, None), (3, "x y", None, None, None), (4, long, "en", "t", 9), (5, f"{line}\nown five words are here now", "en", "t", 1)]
+    rows += [(6 + i, f"{line}\n{i} others say other things", "en", "t", 1) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clash = ["key", "size", "score", "held_out", "own", "node", "copies", "taken", "mark", "wordless", "start", "length", "n_lines", "r", "cut"]
+    docs = docs.select("*", *[F.lit("x").alias(c) for c in clash])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        if name != "packing":
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        got = out.collect()
+        ids = collections.Counter(r["doc_id"] for r in got)
+        if name in ("toxicity", "line_dedup"):
+            assert len(got) == len(rows)
+        elif name == "near_duplicates":
+            assert ids == collections.Counter([1, None, 2, 3, 4, 5, 6, 7, 8])
+        elif name == "packing":
+            assert ids[4] > 10 and sum(r["length"] for r in got) == sum(len(ids_of(r[1])) + 1 for r in rows)
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
 
+
+def test_one_row_of_each_group_stays(spark):
     a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in ("red", "blue", "green"))
     rows = [(1, a), (1, a), (2, a), (2, b), (None, c), (None, c), (None, a), (None, ""), (None, None), (None, ""), (3, ""), (4, ""), (5, b + " more")]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
