@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import reach_workers
-from tessella.llm.common import park, table
+from tessella.llm.common import forget, park, table
 from tessella.llm.linededup import dedup_lines
 from tessella.llm.mixing import mixed_documents
 from tessella.llm.neardup import near_duplicates
@@ -30,13 +30,14 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity scorer predicts to be toxic go."""
+    docs = docs.select(*COLUMNS)
     scored = score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents share stay in one; documents that had nothing else go, those that were empty before stay."""
-    cut = dedup_lines(docs)
+    cut = dedup_lines(docs.select(*COLUMNS))
     return _documents(cut.filter("n_dropped = 0 OR length(text) > 0"))
 
 
@@ -48,6 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     with a doc_id stay once for each doc_id and text, such rows without one stay all.
     """
     reach_workers(spark)
+    docs = docs.select(*COLUMNS)
     anonymous = F.col("doc_id").isNull()
     rank = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
     keyed = docs.withColumn("key", F.struct(anonymous.alias("anonymous"), rank.alias("id"), F.xxhash64("text").alias("mark")))
@@ -59,9 +61,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights: each document as many times as the mix takes it."""
+    """Sources in their target weights: each document as many times as the mix takes it, one of a source in part."""
     reach_workers(spark)
-    return mixed_documents(docs).select(*COLUMNS)
+    return _documents(mixed_documents(docs.select(*COLUMNS)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,8 +85,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage keeps is written to the shared folder and read again by the next."""
+    """All stages over documents; what a stage keeps is written to the shared folder and read again by the next, then deleted."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = park(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, park(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)
