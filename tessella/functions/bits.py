@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names of the two layouts.
 ROW_MAJOR, COLUMN_MAJOR = "row_major", "column_major"
+#: Bits of a run of samples that is packed as one number, at most.
+RUN_BITS = 56
 
 
 def product(shape: Column) -> Column:
@@ -71,25 +76,87 @@ def packed_size(count: Column, depth: int) -> Column:
     return F.ceil(count * depth / 8.0).cast("bigint")
 
 
+def _run(depth: int) -> int:
+    """Samples that fill whole bytes together."""
+    return 8 // math.gcd(8, depth)
+
+
+def _pack_runs(samples: Column, depth: int) -> Column:
+    """Samples packed by runs that fill whole bytes, each run as one number."""
+    n, mask, count = _run(depth), (1 << depth) - 1, F.size(samples)
+    part = lambda i, k: F.shiftleft(F.coalesce(F.get(samples, i * n + k).cast("bigint"), F.lit(0)).bitwiseAND(mask), (n - 1 - k) * depth)
+    whole = lambda i: functools.reduce(Column.bitwiseOR, [part(i, k) for k in range(n)])
+    digits = n * depth // 4
+    hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((count - 1) / n).cast("int")), lambda i: F.lpad(F.hex(whole(i)), digits, "0")), "")
+    return F.when(count > 0, F.unhex(F.substr(hexed, F.lit(1), packed_size(count, depth).cast("int") * 2))).when(count == 0, F.lit(b""))
+
+
+def _unpack_runs(data: Column, depth: int, count: Column) -> Column:
+    """The inverse of _pack_runs."""
+    n, mask = _run(depth), (1 << depth) - 1
+    size = n * depth // 8
+    run = lambda i: F.conv(F.rpad(F.hex(F.substring(data, i * size + 1, F.lit(size))), 2 * size, "0"), 16, 10).cast("bigint")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((count - 1) / n).cast("int")), lambda i: run(i.cast("int")))
+    samples = F.flatten(F.transform(runs, lambda r: F.array(*[F.shiftright(r, (n - 1 - k) * depth).bitwiseAND(mask) for k in range(n)])))
+    return F.slice(samples, F.lit(1), count.cast("int"))
+
+
 def pack(samples: Column, depth: int) -> Column:
     """Samples packed at `depth` bits each, most significant first, the last byte filled with zeros (P1, P6 at depth 1).
 
     Higher bits of a sample are cut. Depths are 1 to 64; pack_wide takes 65 to 128. Null for null; a null sample makes null.
+    Where a few samples fill whole bytes of one number they are shifted together, else they are joined as bits.
     """
     if not 1 <= depth <= 64:
         raise ValueError("depth must be 1 to 64")
-    return F.when(F.forall(samples, lambda x: x.isNotNull()), bits_to_bytes(bit_string(samples, depth)))
+    packed = _pack_runs(samples, depth) if _run(depth) * depth <= RUN_BITS else bits_to_bytes(bit_string(samples, depth))
+    return F.when(F.forall(samples, lambda x: x.isNotNull()), packed)
 
 
 def unpack(data: Column, depth: int, count: Column) -> Column:
     """The inverse of pack: array<bigint> up to 63 bits, array<decimal(20,0)> at 64."""
     if not 1 <= depth <= 64:
         raise ValueError("depth must be 1 to 64")
-    bits = bytes_to_bits(data)
-    read = F.transform(F.sequence(F.lit(1), count.cast("int")), lambda i: F.conv(F.substr(bits, (i - 1) * depth + 1, F.lit(depth)), 2, 10).cast("bigint" if depth < 64 else "decimal(20,0)"))
+    if _run(depth) * depth <= RUN_BITS:
+        read = _unpack_runs(data, depth, count)
+    else:
+        bits = bytes_to_bits(data)
+        read = F.transform(F.sequence(F.lit(1), count.cast("int")), lambda i: F.conv(F.substr(bits, (i - 1) * depth + 1, F.lit(depth)), 2, 10).cast("bigint" if depth < 64 else "decimal(20,0)"))
     return F.when(count > 0, read).when(count == 0, F.array().cast("array<bigint>" if depth < 64 else "array<decimal(20,0)>"))
 
 
+#: Carriers of unpacked samples: their bits and the type that holds all their values.
+CARRIERS = {8: "smallint", 16: "int", 32: "bigint", 64: "decimal(20,0)", 128: "decimal(38,0)"}
+
+
+def carrier_bits(depth: int) -> int:
+    """The least carrier that holds a depth."""
+    return next(bits for bits in CARRIERS if depth <= bits)
+
+
+def unpack_to(data: Column, depth: int, count: Column, carrier: int | None = None) -> Column:
+    """Samples as an array of a carrier's type, by default the least one.
+
+    An error where the depth is beyond the carrier. Samples above 64 bits are decimals; one that needs more than 38 digits,
+    which takes at least 127 bits, is an error.
+    """
+    carrier = carrier or carrier_bits(depth)
+    if depth > carrier or carrier not in CARRIERS:
+        raise ValueError(f"samples of {depth} bits don't fit a carrier of {carrier}")
+    if depth <= 64:
+        return unpack(data, depth, count).cast(f"array<{CARRIERS[carrier]}>")
+    bits = bytes_to_bits(data)
+    half = lambda i, at, n: F.conv(F.substr(bits, (i - 1) * depth + at, F.lit(n)), 2, 10).cast("decimal(38,0)")
+    high = depth - 60
+    joined = lambda i: (half(i, 1, high) * F.lit(1 << 60).cast("decimal(19,0)")).cast("decimal(38,0)") + half(i, 1 + high, 60)
+    if high <= 64:
+        read = F.transform(F.sequence(F.lit(1), count.cast("int")), lambda i: joined(i).cast("decimal(38,0)"))
+    else:
+        top = lambda i: (half(i, 1, high - 60) * F.lit(1 << 60).cast("decimal(19,0)")).cast("decimal(38,0)") + half(i, 1 + high - 60, 60)
+        read = F.transform(F.sequence(F.lit(1), count.cast("int")), lambda i: ((top(i) * F.lit(1 << 60).cast("decimal(19,0)")).cast("decimal(38,0)") + half(i, 1 + high, 60)).cast("decimal(38,0)"))
+    return F.when(count > 0, read).when(count == 0, F.array().cast("array<decimal(38,0)>"))
+
+
 def pack_wide(samples: Column, depth: int) -> Column:
     """pack for samples of 16 big-endian bytes each, at depths up to 128."""
     if not 1 <= depth <= 128:

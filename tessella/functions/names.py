@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# For each letter in its context (the letter before, itself, the two after it; a blank beyond the word),
-# the first rule that matches gives the sounds that are written. "=" writes the letter itself.
+# For each letter in its context (the letter before, itself, the two after it; a blank stands for what is
+# beyond the text), the first rule that matches gives the sounds that are written. "=" writes the letter itself.
 SOUNDS = (
     (" [AEIOU]..", "="), ("MB .", ""), (".B..", "B"),
     (".CH.", "X"), (".C[IEY].", "S"), (".C..", "K"),
@@ -29,16 +29,25 @@ def is_valid_name(name: Column) -> Column:
     return name.rlike(r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*\z") & ~name.contains("__") & ~name.endswith("_")
 
 
+#: What stands beyond a text; where a text holds it, it is read as a blank, which is silent as well.
+EDGE = "\x01"
+
+
 def phonetic_key(word: Column) -> Column:
-    """The sounds of a word by SOUNDS (G10). Words are upper-cased; characters without a rule are silent."""
-    upper = F.upper(word)
-    padded = F.concat(F.lit(" "), upper, F.lit("  "))
+    """The sounds of a text by SOUNDS (G10). It is upper-cased; characters without a rule are silent.
+
+    A text is one unit: only its first letter has nothing before it and its last nothing behind it. A blank inside is a
+    character as any other, so of "A A" only the first vowel is written.
+    """
+    upper = F.translate(F.upper(word), EDGE, " ")
+    padded = F.concat(F.lit(EDGE), upper, F.lit(2 * EDGE))
 
     def sound(i: Column) -> Column:
         near, out = F.substr(padded, i, F.lit(4)), None
         for pattern, written in SOUNDS:
             value = F.substr(near, F.lit(2), F.lit(1)) if written == "=" else F.lit(written)
-            out = F.when(near.rlike(f"(?s)^{pattern}$"), value) if out is None else out.when(near.rlike(f"(?s)^{pattern}$"), value)
+            fits = near.rlike(f"(?s)^{pattern.replace(' ', EDGE)}$")
+            out = F.when(fits, value) if out is None else out.when(fits, value)
         return out.otherwise("")
 
     return F.when(F.length(upper) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(upper)), sound), "")).when(word.isNotNull(), "")
@@ -84,6 +93,18 @@ def text_stats(text: Column) -> Column:
     )
 
 
+def compression_stats(text: Column, coded_bytes: Column) -> Column:
+    """struct<chars, bytes, ascii_chars, wide_chars, coded_bytes, saved_bytes, saved_percent> of a text and its coded size.
+
+    Null for a null text or size; an empty text saves 0 percent.
+    """
+    stats, size = text_stats(text), coded_bytes.cast("bigint")
+    saved = stats["bytes"] - size
+    percent = F.when(stats["bytes"] > 0, saved * 100 / stats["bytes"]).otherwise(0.0)
+    own = [stats[n].alias(n) for n in ("chars", "bytes", "ascii_chars", "wide_chars")]
+    return F.when(text.isNotNull() & size.isNotNull(), F.struct(*own, size.alias("coded_bytes"), saved.alias("saved_bytes"), percent.alias("saved_percent")))
+
+
 def char_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     """code (code point) and n for every character of a column.
 
@@ -94,10 +115,14 @@ def char_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     def count(batches):
         total = np.zeros(0x110000, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen = np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))
+            texts, held = [], 0
+            for text in [*batch.column(0).to_pylist(), None]:
+                texts.append(text or "")
+                held += len(texts[-1])
+                if held >= 1 << 22 or text is None and held:
+                    seen = np.bincount(np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32))
                     total[: len(seen)] += seen
+                    texts, held = [], 0
         codes = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(total[codes], pa.int64())], names=["code", "n"])
 

@@ -62,6 +62,31 @@ def test_wide_samples(spark):
     assert bytes(back[0]) == b"\0" + sample[1:]
 
 
+def test_every_depth_packs_as_bits_do(spark):
+    draw = random.Random(3)
+    for depth in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 28, 32, 56, 60, 63):
+        for count in (1, 4, 5, 9):
+            values = [draw.randrange(1 << depth) for _ in range(count)]
+            bits_ = "".join(format(v, f"0{depth}b") for v in values)
+            want = int(bits_.ljust(-(-len(bits_) // 8) * 8, "0"), 2).to_bytes(-(-len(bits_) // 8), "big")
+            packed, back = one(spark, bits.pack(longs(values), depth), bits.unpack(F.lit(want), depth, F.lit(count)))
+            assert bytes(packed) == want and back == values, (depth, count)
+
+
+def test_carriers(spark):
+    packed = F.lit(bytes([0xFF, 0xF0]))
+    assert one(spark, bits.unpack_to(packed, 12, F.lit(1)), bits.unpack_to(packed, 4, F.lit(3)), bits.unpack_to(packed, 12, F.lit(0), 64)) == ([4095], [15, 15, 15], [])
+    types = [f.dataType.elementType.simpleString() for f in spark.range(1).select(*[bits.unpack_to(F.lit(bytes(16)), d, F.lit(1), c) for d, c in ((8, None), (9, None), (17, None), (33, None), (65, None), (4, 32))]).schema]
+    assert types == ["smallint", "int", "bigint", "decimal(20,0)", "decimal(38,0)", "bigint"]
+    for depth, carrier in ((12, 8), (65, 64), (4, 12)):
+        with pytest.raises(ValueError):
+            bits.unpack_to(packed, depth, F.lit(1), carrier)
+    for depth in (65, 100, 126):
+        value = (1 << depth) - 3 if depth < 126 else 10**37 + 7
+        data = (value << (128 - depth)).to_bytes(16, "big")
+        assert [int(x) for x in one(spark, bits.unpack_to(F.lit(data), depth, F.lit(1)))[0]] == [value]
+
+
 def test_widths_and_bytes(spark):
     edges = [0, 255, 256, 65535, 65536, 2**32 - 1, 2**32, -1]
     found = one(spark, *[bits.width_class(F.lit(e).cast("bigint")) for e in edges])
@@ -78,8 +103,8 @@ def test_lunar_time(spark):
     assert one(spark, F.unix_micros(lunar.to_timestamp(F.lit(-0.5))))[0] == -14_182_940_500_000
 
 
-VALID = "camera iso_speed camera.sensor lens_min_focal_m shutter_time_s test123 camera2 camera.sensor.temperature a a1 a_b_c".split()
-INVALID = ["", "Camera", "cameraA", "iso speed", "iso-speed", "camera(main)", "9camera", "_camera", ".camera", "camera_", "camera.", "camera..sensor", "camera__sensor", "camera.9sensor", "camera._private", "a\n"]
+VALID = "b x9 gain_db rig.left rig.left.port9 m_1.n_2 q0_0 deep.er.and.deeper z_z.z".split()
+INVALID = ["", "Gain", "gainDb", "gain db", "gain-db", "gain[1]", "7gain", "_gain", ".gain", "gain_", "gain.", "rig..left", "gain__db", "rig.7left", "rig._left", "rig_.left.", "é", "gain\n", " gain"]
 
 
 def test_names(spark):
@@ -88,8 +113,16 @@ def test_names(spark):
 
 
 def test_phonetic_keys(spark):
-    rows = {w: one(spark, names.phonetic_key(F.lit(w)))[0] for w in ("phone", "thumb", "queen", "box", "apple", "", "vision")}
-    assert rows == {"phone": "FN", "thumb": "0M", "queen": "KN", "box": "BKS", "apple": "APPL", "": "", "vision": "FXN"}
+    rows = {w: one(spark, names.phonetic_key(F.lit(w)))[0] for w in ("phone", "thumb", "queen", "box", "apple", "", "vision", "judge", "sign", "light", "back", "why", "ache", "cell", "station", "yes")}
+    assert rows == {
+        "phone": "FN", "thumb": "0M", "queen": "KN", "box": "BKS", "apple": "APPL", "": "", "vision": "FXN", "judge": "JJJ", "sign": "SN", "light": "LT", "back": "BK", "why": "W", "ache": "AX", "cell": "SLL",
+        "station": "STXN", "yes": "YS",
+    }
+
+
+def test_a_text_of_words_is_one_unit(spark):
+    keys = ("A A", "lamb chop", "lamb", "my hat", "a sign of", " a", "tom \x01a", "^a$")
+    assert one(spark, *[names.phonetic_key(F.lit(k)) for k in keys]) == ("A", "LMBXP", "LM", "MT", "ASKNF", "", "TM", "")
 
 
 def test_nearest_word(spark):
@@ -151,5 +184,25 @@ def test_display(spark):
     assert one(spark, geo.display_position(F.lit(-33.5), F.lit(151.25)))[0] == "(33.500000°S, 151.250000°E)"
 
 
+def test_values_by_kind(spark):
+    show = display.format_value
+    tensor = F.struct(longs([2, 1234]).alias("shape"), F.lit(b"abc").alias("data"))
+    code = lambda kind, id_, data: F.struct(F.lit(kind).alias("kind"), F.lit(id_).alias("id"), F.lit(data).alias("bytes"))
+    found = one(
+        spark, show("whole", F.lit(-7)), show("float", F.lit(1.5).cast("float")), show("double", F.lit(0.1)), show("tensor", tensor), show("code", code("signature", "e", b"\x01\x02\x03\x04\x05")),
+        show("code", code("hash", "?", b"")), show("code", code("wrap", "c", b"\xff")), display.short_value("text", F.lit("x" * 31)), show("position", F.struct(F.lit(1.0).alias("lat"), F.lit(-2.0).alias("lon"))),
+        show("time", F.to_timestamp(F.lit("2020-01-02 03:04:05"))), show("double", F.lit(None).cast("double")),
+    )
+    assert found == (
+        "-7", "1.5000", "0.10000000", "2 × 1 234, 8-bit tensor (3 Bytes)", "signature[Ed25519 5 Bytes] 01020304...", "hash[unknown 0 Bytes] ...", "wrap[ChaCha20-Poly1305 1 Bytes] FF", "x" * 27 + "...",
+        "(1.0000°N, 2.0000°W)", "2020-JAN-02 3:04:05.000 AM", None,
+    )
+
+
+def test_compression_stats(spark):
+    found = one(spark, names.compression_stats(F.lit("abé"), F.lit(2)), names.compression_stats(F.lit(""), F.lit(0)), names.compression_stats(F.lit(None).cast("string"), F.lit(1)))
+    assert tuple(found[0]) == (3, 4, 2, 1, 2, 2, 50.0) and tuple(found[1]) == (0, 0, 0, 0, 0, 0, 0.0) and found[2] is None
+
+
 def test_let_computes_once(spark):
     assert one(spark, let(F.lit(3), lambda x: x * x + x))[0] == 12
