@@ -38,10 +38,19 @@ def to_lat_lon(x: Column, y: Column, z: Column) -> Column:
     return F.struct(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"))
 
 
+def face_dots(x: Column, y: Column, z: Column) -> Column:
+    """Nearness of a direction to the middle of each face."""
+    return F.array(*[x * a + y * b + z * c for a, b, c in CENTROIDS])
+
+
+def nearest_face(dots: Column) -> Column:
+    """Number of the face with the largest of face_dots; the smallest one on edges."""
+    return (F.array_position(dots, F.array_max(dots)) - 1).cast("int")
+
+
 def closest_face(x: Column, y: Column, z: Column) -> Column:
     """Number of the face whose middle is nearest in direction; the smallest one on edges."""
-    dots = [F.struct((x * a + y * b + z * c).alias("dot"), F.lit(-i).alias("last")) for i, (a, b, c) in enumerate(CENTROIDS)]
-    return -F.array_max(F.array(*dots))["last"]
+    return nearest_face(face_dots(x, y, z))
 
 
 def _inverse(face: tuple[int, int, int]) -> list[float]:
@@ -60,11 +69,20 @@ def by_face(values: list[list[float]], face: Column) -> Column:
     return F.element_at(F.array(*[F.array(*map(F.lit, row)) for row in values]), face + 1)
 
 
+def weights_on(x: Column, y: Column, z: Column, face: Column) -> Column:
+    """Weights of a face's corners for a direction, up to a common factor."""
+    m = by_face(_INVERSES, face)
+    return F.array(*[m[3 * i] * x + m[3 * i + 1] * y + m[3 * i + 2] * z for i in range(3)])
+
+
+def shares(w: Column) -> Column:
+    """struct<u, v, w> of three weights that sum to 1."""
+    return F.struct(*[(w[i] / (w[0] + w[1] + w[2])).alias(k) for i, k in enumerate("uvw")])
+
+
 def barycentric(x: Column, y: Column, z: Column, face: Column) -> Column:
     """struct<u, v, w>: weights of the face's corners where the direction meets its plane; they sum to 1."""
-    weights = lambda m: F.array(*[m[3 * i] * x + m[3 * i + 1] * y + m[3 * i + 2] * z for i in range(3)])
-    shares = lambda w: F.struct(*[(w[i] / (w[0] + w[1] + w[2])).alias(k) for i, k in enumerate("uvw")])
-    return let(by_face(_INVERSES, face), lambda m: let(weights(m), shares))
+    return let(weights_on(x, y, z, face), shares)
 
 
 def display_position(lat: Column, lon: Column) -> Column:

@@ -6,55 +6,163 @@ the layout of position codes is this library's.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import geo, matrix, names
-from tessella.functions.binding import let
 
-#: Bits of each of the two weights in a position code; the face takes five more.
-WEIGHT_BITS = 28
-#: Bits that the text decoder looks up at once; longer codes are searched.
+#: Bits that the text decoder looks up at once; longer codes are searched. Codes are at most 56 bits long.
 WINDOW_BITS = 14
+LONGEST_CODE = 56
+#: Bytes of text that are coded or decoded at once in a worker.
+BLOCK_BYTES = 1 << 20
 
 
 def code_table(docs: DataFrame, column: str = "text") -> dict[str, str]:
     """Characters to canonical prefix codes, from all texts of a column.
 
-    One row for each distinct character, at most 1,114,112, comes to the driver; the table is broadcast with the functions.
+    One row for each distinct character, at most 1,114,112, comes to the driver when this is called, not when a plan runs.
     """
     counts = [(r["code"], r["n"]) for r in names.char_counts(docs, column).orderBy("code").collect()]
     return {chr(point): bits for point, bits in names.canonical_codes(names.code_lengths(counts)).items()}
 
 
 class _Table:
-    """A code table as sorted arrays: code points, codes and their lengths."""
+    """A code table as arrays: by code point the code and its length (0: none), and codes from the left in 56 bits, in order."""
 
     def __init__(self, table: dict[str, str]):
-        items = sorted((ord(c), bits) for c, bits in table.items())
-        self.points = np.array([p for p, _ in items] or [-1], dtype=np.int64)
-        self.codes = np.array([int(b, 2) for _, b in items] or [0], dtype=np.uint64)
-        self.lengths = np.array([len(b) for _, b in items] or [0], dtype=np.int64)
-
-    def places(self, text: str | None) -> np.ndarray | None:
-        """Places of a text's characters in the table; None for null or where one is missing."""
-        if text is None:
-            return None
-        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        return at if (self.points[at] == points).all() else None
+        self.deepest = max(map(len, table.values()), default=1)
+        if self.deepest > LONGEST_CODE:
+            raise ValueError(f"codes may have {LONGEST_CODE} bits at most")
+        points = np.array([ord(c) for c in table], dtype=np.int64)
+        codes, lengths = np.array([int(b, 2) for b in table.values()], dtype=np.uint64), np.array([len(b) for b in table.values()], dtype=np.int64)
+        top = int(points.max(initial=0)) + 2
+        self.code, self.length = np.zeros(top, dtype=np.uint64), np.zeros(top, dtype=np.uint8)
+        self.code[points], self.length[points] = codes, lengths
+        left = codes << (LONGEST_CODE - lengths).astype(np.uint64)
+        order = np.argsort(left, kind="stable")
+        self.left, self.points, self.lengths = left[order], points[order].astype(np.uint32), lengths[order]
+        self.wide = min(self.deepest, WINDOW_BITS)
+        self.reach, self.symbol = np.zeros(1 << self.wide, dtype=np.uint8), np.zeros(1 << self.wide, dtype=np.uint32)
+        for first, point, length in zip((left >> np.uint64(LONGEST_CODE - self.wide)).tolist(), points.tolist(), lengths.tolist()):
+            if length <= self.wide:
+                self.reach[first : first + (1 << (self.wide - length))], self.symbol[first : first + (1 << (self.wide - length))] = length, point
+
+    def sizes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Code points of all texts, the length of each's code, and the first character of each text and its bits; no bits: a character is missing."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        lengths = self.length[np.minimum(points, len(self.length) - 1)].astype(np.int64)
+        first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        sums, missing = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(lengths == 0)])
+        bits = np.where(missing[first[1:]] > missing[first[:-1]], -1, sums[first[1:]] - sums[first[:-1]])
+        return points, lengths, first, bits
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """The codes of all texts, each from a whole byte on: codes are moved to their places in words of 64 bits and added up."""
+        points, lengths, first, bits = self.sizes(texts)
+        size = np.maximum(-(-bits // 8), 0)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        sums = np.cumsum(lengths) - lengths
+        count = np.diff(first)
+        at = sums + np.repeat(8 * begin[:-1] - np.concatenate([sums, [0]])[first[:-1]], count)
+        keep = np.repeat(bits >= 0, count) & (lengths > 0)
+        at, lengths = at[keep], lengths[keep]
+        code = self.code[np.minimum(points[keep], len(self.code) - 1)] << (64 - lengths).astype(np.uint64)
+        words = np.zeros(int(begin[-1]) // 8 + 2, dtype=np.uint64)
+        if len(at):
+            word, shift = at >> 6, (at & 63).astype(np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            words[word[starts]] = np.bitwise_or.reduceat(code >> shift, starts)
+            over = np.flatnonzero(shift + lengths.astype(np.uint64) > 64)  # at most one for each word
+            words[word[over] + 1] |= code[over] << (np.uint64(64) - shift[over])
+        data = words.astype(">u8").tobytes()
+        return [data[a : a + n] if b >= 0 else None for a, n, b in zip(begin.tolist(), size.tolist(), bits.tolist())]
+
+    def decode(self, coded: list[bytes], counts: list[int]) -> list[str | None]:
+        """The texts of all codes. For every bit the place behind a code that begins there is looked up at once; 16 steps are then made as one.
+
+        Bits where no code begins stay where they are, which the last step of a text tells.
+        """
+        pad = LONGEST_CODE // 8 + 2
+        stream = np.frombuffer(b"".join(c + bytes(pad) for c in coded) + bytes(pad), dtype=np.uint8)
+        sizes = np.array([len(c) for c in coded], dtype=np.int64)
+        begin = np.cumsum(sizes + pad) - sizes - pad
+        three = stream[:-2].astype(np.uint32) << 16 | stream[1:-1].astype(np.uint32) << 8 | stream[2:]
+        window = np.empty((len(three), 8), dtype=np.uint32)
+        for shift in range(8):
+            window[:, shift] = three >> (24 - self.wide - shift) & ((1 << self.wide) - 1)
+        window = window.reshape(-1)
+        reach, symbol = self.reach[window], self.symbol[window]
+        if self.deepest > self.wide:
+            far = np.flatnonzero(reach == 0)
+            far = far[far < 8 * (len(stream) - 9)]
+            byte = far >> 3
+            value = np.zeros(len(far), dtype=np.uint64)
+            for k in range(8):
+                value = value << np.uint64(8) | stream[byte + k]
+            value = (value << (far & 7).astype(np.uint64)) >> np.uint64(8)
+            place = np.searchsorted(self.left, value, side="right") - 1
+            found = (place >= 0) & (value - self.left[place] < np.uint64(1) << (LONGEST_CODE - self.lengths[place]).astype(np.uint64))
+            reach[far[found]], symbol[far[found]] = self.lengths[place[found]], self.points[place[found]]
+        jump = np.arange(len(reach), dtype=np.int32) + reach
+        jump = np.minimum(jump, len(reach) - 1)
+        one, stride = jump, 1
+        if sum(counts) >= 256:
+            for _ in range(4):
+                jump, stride = jump[jump], 2 * stride
+        jumps = jump.tolist()
+        heads, texts = [], []
+        for p, n in zip((8 * begin).tolist(), counts):
+            for _ in range(-(-n // stride)):
+                heads.append(p)
+                p = jumps[p]
+        steps = np.empty((len(heads), stride), dtype=np.int32)
+        at = np.array(heads, dtype=np.int32)
+        for k in range(stride):
+            steps[:, k] = at
+            at = one[at]
+        row = 0
+        steps = steps.reshape(-1)
+        for a, size, n in zip((8 * begin).tolist(), sizes.tolist(), counts):
+            own = steps[row * stride : row * stride + n]
+            row += -(-n // stride)
+            # no code begins where the reach is 0, and the last code may not end behind the bytes
+            fine = not n or (reach[own].all() and int(own[-1]) + int(reach[own[-1]]) <= a + 8 * size)
+            texts.append(symbol[own].tobytes().decode("utf-32-le") if fine else None)
+        return texts
+
+
+def _in_blocks(items: list, size, run) -> list:
+    """Results of run over runs of items of about BLOCK_BYTES together; a larger item is taken alone. None stays None."""
+    out: list = [None] * len(items)
+    block, held = [], 0
+    for i, item in enumerate([*items, None]):
+        if block and (held >= BLOCK_BYTES or i == len(items)):
+            for k, found in zip(block, run([items[k] for k in block])):
+                out[k] = found
+            block, held = [], 0
+        if item is not None:
+            block.append(i)
+            held += size(item)
+    return out
 
 
 def coded_size(table: dict[str, str]):
-    """A vectorised function text -> bytes that it takes in a code, without coding it."""
+    """A vectorised function text -> bytes that it takes in a code, without coding it (X1). The table is made once for each task."""
 
     @F.pandas_udf("bigint")
-    def size(texts: pd.Series) -> pd.Series:
+    def size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = _Table(table)
-        found = [own.places(t) for t in texts]
-        return pd.Series([None if at is None else int(-(-own.lengths[at].sum() // 8)) for at in found], dtype="Int64")
+        for texts in batches:
+            found = _in_blocks(texts.tolist(), len, lambda t: own.sizes(t)[3].tolist())
+            yield pd.Series([None if n is None or n < 0 else -(-n // 8) for n in found], dtype="Int64")
 
     return size
 
@@ -62,112 +170,128 @@ def coded_size(table: dict[str, str]):
 def encode_text(table: dict[str, str]):
     """A vectorised function text -> binary: the codes of its characters, filled with zeros to whole bytes.
 
-    Null for null and for a text with a character that the table lacks.
+    Null for null and for a text with a character that the table lacks. The table is made once for each task.
     """
 
     @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = _Table(table)
-
-        def one(text):
-            at = own.places(text)
-            if at is None:
-                return None
-            lengths = own.lengths[at]
-            ends = np.cumsum(lengths)
-            shift = np.repeat(ends, lengths) - 1 - np.arange(ends[-1] if len(ends) else 0)
-            return np.packbits((np.repeat(own.codes[at], lengths) >> shift.astype(np.uint64)) & np.uint64(1) == 1).tobytes()
-
-        return texts.map(one)
+        for texts in batches:
+            yield pd.Series(_in_blocks(texts.tolist(), len, own.encode), dtype=object)
 
     return encode
 
 
 def decode_text(table: dict[str, str]):
-    """A vectorised function (binary, characters) -> text, the inverse of encode_text; null where the bytes are too few.
-
-    All texts of a batch are read at once, one character of each in a step: a window of bits at each text's place tells the
-    character and how far its code reaches. Codes longer than the window are searched one by one; they are rare.
-    """
-    chars = {bits: ord(c) for c, bits in table.items()}
-    deepest = max(map(len, chars), default=1)
-    wide = min(deepest, WINDOW_BITS)
-
-    def longer(data: np.ndarray, at: int) -> tuple[int, int]:
-        bits = "".join(f"{b:08b}" for b in data[at // 8 : (at + deepest) // 8 + 1].tolist())[at % 8 :]
-        return next(((n, chars[bits[:n]]) for n in range(wide + 1, deepest + 1) if bits[:n] in chars), (0, 0))
+    """A vectorised function (binary, characters) -> text, the inverse of encode_text; null where the bytes are too few."""
 
     @F.pandas_udf("string")
-    def decode(data: pd.Series, counts: pd.Series) -> pd.Series:
-        reach, symbol = np.zeros(1 << wide, dtype=np.int64), np.zeros(1 << wide, dtype=np.uint32)
-        for bits, point in chars.items():
-            if len(bits) <= wide:
-                first = int(bits, 2) << (wide - len(bits))
-                reach[first : first + (1 << (wide - len(bits)))], symbol[first : first + (1 << (wide - len(bits)))] = len(bits), point
-        known = [raw is not None and n is not None and not pd.isna(n) for raw, n in zip(data, counts)]
-        rows = np.array([i for i, k in enumerate(known) if k], dtype=np.int64)
-        raw = [bytes(data.iloc[i]) for i in rows]
-        n = np.array([int(counts.iloc[i]) for i in rows], dtype=np.int64)
-        pad = -(-(wide + deepest) // 8) + 3
-        stream = np.frombuffer(b"".join(r + bytes(pad) for r in raw) + bytes(pad), dtype=np.uint8)
-        sizes = np.array([len(r) for r in raw], dtype=np.int64)
-        start = 8 * (np.cumsum(sizes + pad) - sizes - pad)
-        order = np.argsort(-n, kind="stable")
-        n, at, end = n[order], start[order], (start + 8 * sizes)[order]
-        first = np.cumsum(n) - n
-        out, fine = np.zeros(int(n.sum()), dtype=np.uint32), np.ones(len(n), dtype=bool)
-        for step in range(int(n.max(initial=0))):
-            lanes = int(np.searchsorted(-n, -step, side="left"))  # texts of more than `step` characters
-            place = at[:lanes]
-            byte = place >> 3
-            window = (stream[byte].astype(np.int64) << 16 | stream[byte + 1].astype(np.int64) << 8 | stream[byte + 2]) >> (24 - wide - (place & 7)) & ((1 << wide) - 1)
-            go, point = reach[window], symbol[window]
-            for lane in np.flatnonzero(go == 0).tolist():
-                go[lane], point[lane] = longer(stream, int(place[lane]))
-            out[first[:lanes] + step] = point
-            past = (go == 0) | (place + go > end[:lanes])
-            fine[:lanes] &= ~past
-            at[:lanes] = np.where(past, end[:lanes], place + go)  # a text that is cut stays at its end
-        texts: list[str | None] = [None] * len(known)
-        for lane, row in enumerate(rows[order].tolist()):
-            if fine[lane]:
-                texts[row] = out[first[lane] : first[lane] + n[lane]].tobytes().decode("utf-32-le")
-        return pd.Series(texts, dtype=object)
+    def decode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own = _Table(table)
+        for data, counts in batches:
+            items = [None if raw is None or pd.isna(n) else (bytes(raw), int(n)) for raw, n in zip(data, counts)]
+            # more characters than bits are never there
+            items = [x if x is None or x[1] <= 8 * len(x[0]) else (b"", 1) for x in items]
+            yield pd.Series(_in_blocks(items, lambda x: len(x[0]), lambda some: own.decode(*map(list, zip(*some)))), dtype=object)
 
     return decode
 
 
-def position_code(lat: Column, lon: Column) -> Column:
-    """One BIGINT of a position: face, then two weights of WEIGHT_BITS bits on the face's corners.
+#: Steps along an edge of a face, and the points of its triangle. Codes are face - 10 times these, and a point's number: all 64 bits.
+EDGE_STEPS = (math.isqrt(8 * (2**63 // 10) + 1) - 3) // 2
+POINTS = (EDGE_STEPS + 1) * (EDGE_STEPS + 2) // 2
+
+
+_ROWS = 2 * EDGE_STEPS + 3
+_MIDDLES, _CORNERS = np.array(geo.CENTROIDS), np.array([[geo.VERTICES[i] for i in f] for f in geo.FACES])
+#: Rows that turn a direction into the weights of a face's corners, up to a common factor.
+_WEIGHTS = np.linalg.inv(_CORNERS.transpose(0, 2, 1))
+
+
+def _row_start(row: np.ndarray) -> np.ndarray:
+    """Number of the first point of a row of the triangle; row i has EDGE_STEPS + 1 - i points."""
+    return row * (_ROWS - row) // 2
+
+
+def _codes(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Numbers of the nearest points of the nearest faces to directions, of which no part is missing."""
+    p = np.column_stack([x, y, z])
+    face = (p @ _MIDDLES.T).argmax(axis=1)  # the smallest one on edges
+    w = np.einsum("nij,nj->ni", _WEIGHTS[face], p)
+    w *= EDGE_STEPS / w.sum(axis=1, keepdims=True)
+    near = np.floor(w + 0.5)
+    off = np.abs(near - w)
+    worst = off.argmax(axis=1)  # the weight that is rounded most gives way to the sum
+    rows = np.arange(len(p))
+    near[rows, worst] = EDGE_STEPS - (near.sum(axis=1) - near[rows, worst])
+    i = np.clip(near[:, 0].astype(np.int64), 0, EDGE_STEPS)
+    j = np.clip(near[:, 1].astype(np.int64), 0, EDGE_STEPS - i)
+    return (face.astype(np.int64) - 10) * POINTS + _row_start(i) + j
+
+
+def _directions(code: np.ndarray) -> np.ndarray:
+    """Unit vectors of codes."""
+    face, t = np.floor_divide(code, POINTS) + 10, np.mod(code, POINTS)
+    row = np.floor((_ROWS - np.sqrt((_ROWS * _ROWS - 8 * t).astype(np.float64))) / 2).astype(np.int64)
+    row -= _row_start(row) > t
+    row += _row_start(row + 1) <= t
+    u, v = row / EDGE_STEPS, (t - _row_start(row)) / EDGE_STEPS
+    p = np.einsum("ni,nij->nj", np.column_stack([u, v, 1 - u - v]), _CORNERS[face])
+    return p / np.linalg.norm(p, axis=1, keepdims=True)
+
+
+def _sphere(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b = np.radians(lat), np.radians(lon)
+    return np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)
+
+
+def _coded(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pd.Series:
+    known = np.isfinite(x) & np.isfinite(y) & np.isfinite(z)
+    out = pd.Series(pd.NA, index=range(len(x)), dtype="Int64")
+    out[known] = _codes(x[known], y[known], z[known])
+    return out
+
 
-    Weights are rounded to one of 2**28 - 1 steps, so the top value fits its field and no bit of one part reaches another.
+@F.pandas_udf(T.LongType())
+def code_of_xyz(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+    """The position code of a direction, a BIGINT: the nearest of POINTS points on the nearest of 20 faces.
+
+    Points are at most 3.7 mm from what they stand for. Null where a part is null or not finite.
     """
-    top = (1 << WEIGHT_BITS) - 1
-    step = lambda x: F.least(F.greatest(F.round(x * top), F.lit(0.0)), F.lit(float(top))).cast("bigint")
+    return _coded(*(v.to_numpy(dtype=np.float64) for v in (x, y, z)))
+
 
-    def code(face: Column, w: Column) -> Column:
-        return F.shiftleft(face.cast("bigint"), 2 * WEIGHT_BITS).bitwiseOR(F.shiftleft(step(w["u"]), WEIGHT_BITS)).bitwiseOR(step(w["v"]))
+@F.pandas_udf(T.LongType())
+def position_code(lat: pd.Series, lon: pd.Series) -> pd.Series:
+    """The position code of degrees (G4, G6). One vectorised function, so that plans stay small where filters use its result."""
+    return _coded(*_sphere(lat.to_numpy(dtype=np.float64), lon.to_numpy(dtype=np.float64)))
 
-    def of(p: Column) -> Column:
-        x, y, z = p["x"], p["y"], p["z"]
-        return let(geo.closest_face(x, y, z), lambda face: let(geo.barycentric(x, y, z, face), lambda w: code(face, w)))
 
-    return let(geo.to_xyz(lat, lon), of)
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("lat", "lon", "x", "y", "z")]))
+def position_of(code: pd.Series) -> pd.DataFrame:
+    """struct<lat, lon, x, y, z> of a position code, x, y, z of length 1 (G5, G6); its parts are null for null."""
+    known = code.notna().to_numpy()
+    p = np.full((len(code), 3), np.nan)
+    p[known] = _directions(code[known].to_numpy(dtype=np.int64))
+    x, y, z = p.T
+    return pd.DataFrame({"lat": np.degrees(np.arctan2(z, np.hypot(x, y))), "lon": np.degrees(np.arctan2(y, x)), "x": x, "y": y, "z": z})
 
 
-def position_of(code: Column) -> Column:
-    """struct<lat, lon> of a position code."""
-    top = (1 << WEIGHT_BITS) - 1
-    face = F.shiftright(code, 2 * WEIGHT_BITS).cast("int")
-    u, v = F.shiftright(code, WEIGHT_BITS).bitwiseAND(top) / float(top), code.bitwiseAND(top) / float(top)
-    corners = geo.by_face([[x for i in f for x in geo.VERTICES[i]] for f in geo.FACES], face)
-    at = lambda c: F.struct(*[(c[k] * u + c[3 + k] * v + c[6 + k] * (1.0 - u - v)).alias(n) for k, n in enumerate("xyz")])
-    return let(corners, lambda c: let(at(c), lambda p: geo.to_lat_lon(p["x"], p["y"], p["z"])))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _track(lats: pd.Series, lons: pd.Series) -> pd.Series:
+    known = [i for i, v in enumerate(lats) if v is not None]
+    ends = np.cumsum([len(lats.iloc[i]) for i in known]).tolist()
+    flat = lambda s: np.concatenate([np.asarray(s.iloc[i], dtype=np.float64) for i in known] or [np.empty(0)])
+    codes = [None if c is pd.NA else c for c in _coded(*_sphere(flat(lats), flat(lons))).tolist()]
+    out: list[list | None] = [None] * len(lats)
+    for i, begin, end in zip(known, [0, *ends], ends):
+        out[i] = codes[begin:end]
+    return pd.Series(out, dtype=object)
 
 
 def track_codes(track: Column) -> Column:
-    """Position codes of an array of struct<lat, lon>."""
-    return F.transform(track, lambda p: position_code(p["lat"], p["lon"]))
+    """Position codes of an array of struct<lat, lon> (G12); null for null."""
+    return _track(F.transform(track, lambda p: p["lat"].cast("double")), F.transform(track, lambda p: p["lon"].cast("double")))
 
 
 def digits_needed(words: int, most: int = 2**63 - 1) -> int:
@@ -179,26 +303,61 @@ def digits_needed(words: int, most: int = 2**63 - 1) -> int:
     return n
 
 
-def to_words(number: Column, words: list[str]) -> Column:
-    """A number from 0 as words (G7): first its remainder by the number of words, as a check, then its digits, least first."""
-    base = len(words)
+def to_words(number: Column, words: list[str], signed: bool = False) -> Column:
+    """A number from 0 as words (G7): first its remainder by the number of words, as a check, then its digits, least first.
+
+    signed: a BIGINT below 0 counts too, as position codes are; then all 64 bits, from -2**63 on, are written.
+    """
+    base, most = len(words), 2**64 - 1 if signed else 2**63 - 1
     listed = F.array(*[F.lit(w) for w in words])
     number = number.cast("bigint")
-    digits = [number % base] + [F.call_function("div", number, F.lit(base**k)) % base for k in range(digits_needed(base) - 1)]
-    return F.when(number >= 0, F.array_join(F.transform(F.array(*digits), lambda d: F.element_at(listed, d.cast("int") + 1)), " "))
+    if signed:
+        number = (number.cast("decimal(20,0)") + F.lit(Decimal(2**63))).cast("decimal(20,0)")
+    scaled = lambda k: number if not k else F.call_function("div", number, F.lit(Decimal(base**k) if signed else base**k))
+    digits = [number % base] + [scaled(k) % base for k in range(digits_needed(base, most) - 1)]
+    return F.when(number >= 0, F.concat_ws(" ", *[F.element_at(listed, d.cast("int") + 1) for d in digits]))
 
 
-def from_words(text: Column, words: list[str]) -> Column:
-    """The number of a word code (G8); null where a word isn't listed, words are too many or few, or the check fails.
+def from_words(words: list[str], signed: bool = False):
+    """A vectorised function text -> the number of a word code.
 
-    Words are read by their spelling; correct a text word by word with names.nearest_word before.
+    Null where a word isn't listed, words are too many or few, or the check fails. Blanks around words and capitals don't
+    count. with_number_of_words reads texts with slips as well.
     """
-    base = len(words)
-    listed = F.array(*[F.lit(w) for w in words])
-    digits = F.transform(F.split(F.btrim(F.lower(text)), r"\s+"), lambda w: F.array_position(listed, w) - 1)
-    number = F.aggregate(F.reverse(F.slice(digits, 2, 1 << 20)), F.lit(0).cast("decimal(38,0)"), lambda a, d: (a * F.lit(base).cast("decimal(10,0)") + d).cast("decimal(38,0)"))
-    fine = (F.size(digits) == digits_needed(base)) & F.forall(digits, lambda d: d >= 0)
-    return F.when(fine, F.when((number <= 2**63 - 1) & (number % base == digits[0]), number.cast("bigint")))
+    base, most = len(words), 2**64 - 1 if signed else 2**63 - 1
+    length, least = digits_needed(base, most), -(2**63) if signed else 0
+
+    @F.pandas_udf("bigint")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        place = {w: i for i, w in reversed(list(enumerate(words)))}
+
+        def one(text: str | None) -> int | None:
+            digits = [place.get(w) for w in text.lower().split()] if text is not None else []
+            if len(digits) != length or None in digits:
+                return None
+            number = sum(d * base**k for k, d in enumerate(digits[1:]))
+            return number + least if number <= most and number % base == digits[0] else None
+
+        for texts in batches:
+            yield pd.Series([one(t) for t in texts], dtype="Int64")
+
+    return read
+
+
+def with_number_of_words(df: DataFrame, column: str, words: list[str], name: str) -> DataFrame:
+    """Adds the number of a column's word codes; where one can't be read as it is, each word is first replaced by the nearest in the list.
+
+    Only distinct words of such texts are compared with the list, and corrected texts are joined back by their spelling.
+    Null where the check fails after that too.
+    """
+    exact = df.withColumn(name, from_words(words)(F.col(column)))
+    slips = exact.filter(F.col(name).isNull() & F.col(column).isNotNull()).select(F.col(column).alias("_slip")).distinct()
+    parts = slips.select("_slip", F.posexplode(F.split(F.btrim(F.lower("_slip")), r"\s+")).alias("_at", "_word"))
+    nearest = names.nearest_word(parts, "_word", words)
+    mended = nearest.groupBy("_slip").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "nearest"))), lambda x: x["nearest"]), " ").alias("_text"))
+    mended = mended.select("_slip", from_words(words)(F.col("_text")).alias("_mended")).filter("_mended IS NOT NULL")
+    joined = exact.join(mended, exact[column] == mended["_slip"], "left")
+    return joined.withColumn(name, F.coalesce(F.col(name), F.col("_mended"))).drop("_slip", "_mended")
 
 
 def luminance(r: Column, g: Column, b: Column, weights: tuple[float, float, float]) -> Column:
@@ -221,3 +380,20 @@ def derive_rgb_to_observer(observer: DataFrame, wavelengths: tuple[float, float,
         out = column if out is None else out.crossJoin(column)  # three rows of one each
     m = F.array(*[F.get(F.col(f"c{i}"), F.lit(k)) for k in range(3) for i in range(3)])
     return out.select(m.alias("to_lms"), matrix.invert(m).alias("to_rgb"))
+
+
+def through(row: DataFrame, matrices: dict[str, list[float]]) -> DataFrame:
+    """Adds to_<name> and from_<name> for each matrix of a caller: the observer's matrix carried on by it, and the inverse (L2).
+
+    row: the result of derive_rgb_to_observer. A matrix takes the observer's responses to another space, as XYZ or the
+    primaries of a display.
+    """
+    for name, cells in matrices.items():
+        row = row.withColumn(f"to_{name}", matrix.multiply(F.array(*[F.lit(float(x)) for x in cells]), F.col("to_lms")))
+        row = row.withColumn(f"from_{name}", matrix.invert(F.col(f"to_{name}")))
+    return row
+
+
+def is_identity(m: Column, tolerance: float = 1e-9) -> Column:
+    """Whether a matrix is the identity but for rounding (L2)."""
+    return F.forall(F.transform(m, lambda x, i: F.abs(x - F.when(i % 4 == 0, 1.0).otherwise(0.0))), lambda d: d <= tolerance)
