@@ -8,16 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Kind, id, name and length in bytes of each algorithm; null where the length varies.
-ALGORITHMS = (
-    ("mac", "h", "HMAC-SHA256", 32), ("mac", "s", "HMAC-SHA512", 64), ("mac", "p", "Poly1305", 16), ("mac", "b", "BLAKE3-keyed", 32), ("mac", "c", "CMAC-AES", 16),
-    ("hash", "b", "BLAKE3", 32), ("hash", "s", "SHA-256", 32), ("hash", "t", "SHA-512", 64),
-    ("signature", "e", "Ed25519", 64), ("signature", "p", "ECDSA-P256", 64), ("signature", "r", "RSA-2048", 256),
-    ("key", "e", "Ed25519", 32), ("key", "x", "X25519", 32), ("key", "p", "ECDSA-P256", None), ("key", "r", "RSA-2048", None),
-    ("key", "c", "ChaCha20-Poly1305", None), ("key", "a", "AES-256-GCM", None),
-    ("wrap", "c", "ChaCha20-Poly1305", 32), ("wrap", "a", "AES-256-GCM", 32),
-)
-
+from tessella.functions.algorithms import ALGORITHMS
 
 def algorithms(spark: SparkSession) -> DataFrame:
     """The table of algorithms: kind, id, name, length (V9)."""
@@ -47,11 +38,26 @@ def section_hash(content: Column, offset: Column, size: Column) -> Column:
     return F.sha2(F.substring(content, offset + 1, size), 256)
 
 
-def _hash_status() -> Column:
+def _status(content: Column, offset: Column, size: Column, digest: Column) -> Column:
     """PASS, FAIL or ABSENT by a section's hash; a section that goes beyond the content fails."""
-    inside = (F.col("offset_bytes") >= 0) & (F.col("size_bytes") >= 0) & (F.col("offset_bytes").cast("bigint") + F.col("size_bytes") <= F.octet_length("content"))
-    own = section_hash(F.col("content"), F.col("offset_bytes"), F.col("size_bytes"))
-    return F.when(F.col("hash").isNull(), "ABSENT").when(inside & (F.lower("hash") == own), "PASS").otherwise("FAIL")
+    inside = (offset >= 0) & (size >= 0) & (offset.cast("bigint") + size <= F.octet_length(content))
+    own = section_hash(content, offset.cast("int"), size.cast("int"))
+    return F.when(digest.isNull(), "ABSENT").when(inside & (F.lower(digest) == own), "PASS").otherwise("FAIL")
+
+
+def _hash_status() -> Column:
+    return _status(*(F.col(c) for c in ("content", "offset_bytes", "size_bytes", "hash")))
+
+
+def checks_in_file(content: Column, magic: Column, sections: Column) -> Column:
+    """checks as an array of struct<check, status> of a file whose sections are an array, so its content is read in one place and not copied (V4, V8).
+
+    sections: array<struct<name, offset_bytes, size_bytes, hash>>.
+    """
+    row = lambda check, status: F.struct(check.alias("check"), status.alias("status"))
+    begins = F.coalesce(F.substring(content, F.lit(1), F.octet_length(magic)) == magic, F.lit(False))
+    by_section = F.transform(sections, lambda s: row(F.concat(F.lit("section "), s["name"]), _status(content, s["offset_bytes"], s["size_bytes"], s["hash"])))
+    return F.concat(F.array(row(F.lit("magic"), F.when(begins, "PASS").otherwise("FAIL"))), by_section)
 
 
 def checks(sections: DataFrame) -> DataFrame:

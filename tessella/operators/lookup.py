@@ -43,6 +43,11 @@ def section_info(labels: DataFrame, fields: DataFrame) -> DataFrame:
     return rows.select("file_id", "ordinal", "name", "offset_bytes", "size_bytes", "child_count", found, notes.alias("notes"))
 
 
+def tree_line(name: Column, value: Column) -> Column:
+    """A field as a line "  name: value" (C8)."""
+    return F.concat(F.lit("  "), name, F.lit(": "), F.coalesce(value.cast("string"), F.lit("")))
+
+
 def tree_lines(fields: DataFrame) -> DataFrame:
-    """file_id, section, ordinal and a line "  name: value" for each field (C8); order by these to print them."""
-    return fields.select("file_id", "section", "ordinal", F.concat(F.lit("  "), "name", F.lit(": "), F.coalesce(F.col("value").cast("string"), F.lit(""))).alias("line"))
+    """file_id, section, ordinal and the line of each field (C8); order by these to print them."""
+    return fields.select("file_id", "section", "ordinal", tree_line(F.col("name"), F.col("value")).alias("line"))

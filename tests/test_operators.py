@@ -1,11 +1,16 @@
 """Records, lookup, integrity, codes and sources on small tables."""
 
+import collections
 import hashlib
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import __main__ as command_line
 from tessella import sources
+from tessella.functions import geo, matrix, names
 from tessella.operators import codes, integrity, lookup, records
 from tessella.streaming import with_columns
 
@@ -53,6 +58,9 @@ def test_file_hash_and_checks(spark):
     )
     counts = {r["file_id"]: tuple(r)[1:] for r in integrity.check_counts(integrity.checks(sections)).collect()}
     assert counts == {1: (2, 0, 1), 2: (0, 2, 0)}
+    nested = sections.groupBy("file_id", "content", "magic").agg(F.array_sort(F.collect_list(F.struct("name", "offset_bytes", "size_bytes", "hash"))).alias("s"))
+    flat = nested.select("file_id", F.inline(integrity.checks_in_file(F.col("content"), F.col("magic"), F.col("s"))))
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, integrity.checks(sections).collect()))
 
 
 def test_verify_gives_rows_for_every_check(spark):
@@ -109,11 +117,37 @@ def test_section_notes(spark):
 
 def test_word_codes(spark):
     words = ["ash", "bay", "cod", "dew", "elk"]
-    edges = spark.createDataFrame([(0,), (4,), (5,), (2**62,), (2**63 - 1,), (-1,), (None,)], "n bigint").withColumn("w", codes.to_words(F.col("n"), words))
-    rows = edges.select("n", "w", codes.from_words(F.col("w"), words).alias("back")).collect()
-    assert all(r["back"] == r["n"] for r in rows if r["n"] is not None and r["n"] >= 0) and [r["w"] for r in rows[-2:]] == [None, None]
+    edges = spark.createDataFrame([(0,), (4,), (5,), (2**62,), (2**63 - 1,), (-1,), (-(2**63),), (None,)], "n bigint").withColumn("w", codes.to_words(F.col("n"), words)).withColumn("s", codes.to_words(F.col("n"), words, signed=True))
+    rows = edges.select("n", "w", "s", codes.from_words(words)("w").alias("back"), codes.from_words(words, signed=True)("s").alias("all")).collect()
+    assert all(r["back"] == r["n"] for r in rows if r["n"] is not None and r["n"] >= 0) and [r["w"] for r in rows[-3:]] == [None] * 3
+    assert all(r["all"] == r["n"] for r in rows)
     swapped = rows[2]["w"].replace("ash", "bay", 1)
-    assert spark.range(1).select(codes.from_words(F.lit(swapped), words), codes.from_words(F.lit("ash fox"), words)).first()[0] is None
+    assert spark.range(1).select(codes.from_words(words)(F.lit(swapped)), codes.from_words(words)(F.lit("ash fox"))).first()[0] is None
+
+
+def test_word_codes_with_slips(spark):
+    words = ["amber", "basil", "cedar", "dahlia", "fennel"]
+    good = spark.createDataFrame([(n,) for n in (0, 7, 123456789, 2**62)], "n bigint").withColumn("w", codes.to_words(F.col("n"), words))
+    slips = good.select("n", F.regexp_replace(F.upper("w"), "CEDAR", "seder").alias("w"))
+    other = spark.createDataFrame([(None, None), (None, "amber"), (None, " ".join(["basil", *["amber"] * 27]))], "n bigint, w string")
+    for r in codes.with_number_of_words(good.unionByName(slips).unionByName(other), "w", words, "back").collect():
+        assert r["back"] == r["n"]
+
+
+def test_positions_are_within_4_mm(spark):
+    at = spark.range(20_000).select((F.rand(1) * 180 - 90).alias("lat"), (F.rand(2) * 360 - 180).alias("lon"))
+    ends = spark.createDataFrame([(float(a), float(b)) for a in (-90, -45, 0, 31.7174744, 90) for b in (-180, -90, 0, 36, 180)] + [(None, 1.0), (float("nan"), 1.0)], "lat double, lon double")
+    rows = at.unionByName(ends).withColumn("code", codes.position_code("lat", "lon")).withColumn("p", codes.position_of("code")).withColumn("xyz", geo.to_xyz(F.col("lat"), F.col("lon")))
+    rows = rows.withColumn("again", codes.code_of_xyz("p.x", "p.y", "p.z"))
+    gap = F.sqrt(F.pow(F.col("xyz.x") - F.col("p.x"), F.lit(2.0)) + F.pow(F.col("xyz.y") - F.col("p.y"), F.lit(2.0)) + F.pow(F.col("xyz.z") - F.col("p.z"), F.lit(2.0))) * 6_371_000_000
+    good = rows.filter("code IS NOT NULL")
+    facts = good.agg(F.avg(gap).alias("mean"), F.max(gap).alias("most"), F.count("p.lat").alias("n")).first()
+    assert facts["mean"] < 2.14 and facts["most"] < 5.06 and facts["n"] == 20_025  # the published errors
+    moved = good.filter("code <> again").withColumn("q", codes.position_of("again"))  # points on an edge are on two faces
+    assert moved.filter("abs(p.x - q.x) + abs(p.y - q.y) + abs(p.z - q.z) > 1e-14").count() == 0
+    track = F.array(F.struct("lat", "lon"), F.struct(F.lit(None).cast("double").alias("lat"), "lon"))
+    assert good.select("code", codes.track_codes(track).alias("t")).filter("t[0] <> code OR t[1] IS NOT NULL OR size(t) <> 2").count() == 0
+    assert spark.range(1).select(codes.track_codes(F.lit(None).cast("array<struct<lat:double,lon:double>>"))).first()[0] is None
 
 
 def test_text_code(spark):
@@ -128,6 +162,62 @@ def test_text_code(spark):
     assert text.select(codes.decode_text(long)(F.col("c"), F.lit(500))).first()[0] is None
 
 
+def test_codec_by_plain_strings():
+    draw = random.Random(5)
+    text = "".join(draw.choice("etaoin shrdlu, ß日本😀" + "e" * 40) for _ in range(3000))
+    lengths = names.code_lengths(sorted((ord(c), n) for c, n in collections.Counter(text).items()))
+    table = {chr(p): b for p, b in names.canonical_codes(lengths).items()}
+    deep = {chr(97 + i): "1" * i + "0" for i in range(56)}
+    for code in (table, deep):
+        own = codes._Table(code)
+        texts = ["", text[:1] if code is table else "a", *("".join(draw.choice(list(code)) for _ in range(n)) for n in (1, 7, 64, 500, 2000)), text if code is table else "zyx" * 100, "?" if "?" not in code else ""]
+        coded = own.encode(texts)
+        for t, c, n in zip(texts, coded, own.sizes(texts)[3]):
+            bits = "".join(code.get(x, "-") for x in t)
+            want = None if "-" in bits else int("0" + bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+            assert c == want and n == (-1 if "-" in bits else len(bits))
+        known = [(t, c) for t, c in zip(texts, coded) if c is not None]
+        assert own.decode([c for _, c in known], [len(t) for t, _ in known]) == [t for t, _ in known]
+        assert own.decode([known[-2][1][:-1], b""], [len(known[-2][0]), 3]) == [None, None]
+    with pytest.raises(ValueError):
+        codes._Table({"a": "0" * 57})
+
+
+def test_codec_is_fast():
+    draw = random.Random(6)
+    texts = ["".join(draw.choices("etaoin shrdlucmfwypvbgk.,", range(25, 0, -1), k=20_000)) for _ in range(50)]
+    table = {chr(p): b for p, b in names.canonical_codes(names.code_lengths(sorted((ord(c), n) for c, n in collections.Counter("".join(texts)).items()))).items()}
+    own = codes._Table(table)
+    began = time.perf_counter()
+    coded = own.encode(texts)
+    middle = time.perf_counter()
+    assert own.decode(coded, [len(t) for t in texts]) == texts
+    size = sum(map(len, texts)) / 1e6
+    assert size / (middle - began) > 2.3 and size / (time.perf_counter() - middle) > 2.3  # megabytes a second of one core; the floor of the survey
+
+
+def test_matrices_beyond_an_observer(spark):
+    row = spark.createDataFrame([([2.0, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 8.0],)], "to_lms array<double>")
+    found = codes.through(row, {"xyz": [1, 1, 0, 0, 1, 0, 0, 0, 1]}).select("to_xyz", "from_xyz", codes.is_identity(matrix.multiply(F.col("to_xyz"), F.col("from_xyz"))), codes.is_identity(F.col("to_xyz"))).first()
+    assert found[0] == [2, 4, 0, 0, 4, 0, 0, 0, 8] and found[1] == [0.5, -0.5, 0, 0, 0.25, 0, 0, 0, 0.125] and found[2:] == (True, False)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, b"HEADbody", b"HEAD"), (2, b"TAIL", b"HEAD")], "file_id int, content binary, magic binary").write.parquet(f"{folder}/files.parquet")
+    label = (1, 0, "cam", 4, 4, 1, hashlib.sha256(b"body").hexdigest(), "e")
+    spark.createDataFrame([label], "file_id int, ordinal int, name string, offset_bytes int, size_bytes int, child_count int, hash string, signature string").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "cam", 0, "iso", "200")], "file_id int, section string, ordinal int, name string, value string").write.parquet(f"{folder}/fields.parquet")
+    run = lambda *a: (command_line.main(list(a), spark), capsys.readouterr().out.splitlines())
+    assert run("info", folder) == (0, ["1  cam  at 4  4 Bytes  1 fields  Signed with Ed25519"])
+    assert run("get", folder, "cam.iso") == (0, ["1  200"]) and run("get", folder, "cam.x") == (1, [])
+    assert run("tree", folder) == (0, ["1  cam  iso: 200"])
+    code, lines = run("verify", folder)
+    assert code == 1 and lines[-1] == "2  INVALID" and "1  PASS  section cam" in lines and "1  VALID" in lines
+    with pytest.raises(SystemExit):
+        command_line.main(["get", folder], spark)
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
     sources.write(df, f"{tmp_path}/t.parquet")

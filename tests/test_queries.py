@@ -19,5 +19,5 @@ def test_entry_gives_rows(spark):
 def test_display_covers_every_document(spark, tmp_path):
     texts = ["éa", "日本語", "abc", "", "plain text", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = {r["doc_id"]: r["preview"] for r in QUERIES["display_text_whole"](spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: r["preview"] for r in QUERIES["display_text"](spark, str(tmp_path)).collect()}
     assert found == {i: None if t is None else t.encode()[:4].hex().upper() + "..." * (len(t.encode()) > 4) for i, t in enumerate(texts)}
