@@ -12,7 +12,7 @@ from tessella import __main__ as command_line
 from tessella import sources
 from tessella.functions import geo, matrix, names
 from tessella.operators import codes, integrity, lookup, records
-from tessella.streaming import with_columns
+from tessella.streaming import width_counts, with_columns
 
 
 def test_rules(spark):
@@ -238,3 +238,14 @@ def test_columns_on_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("widths").collect())) == [(5, 3), (300, 4)]
     with pytest.raises(ValueError):
         with_columns(df, {})
+
+
+def test_counts_of_a_stream_are_those_of_the_table(spark, tmp_path):
+    rows = [(f"2024-01-01 00:{m:02d}:{s:02d}", v) for m in range(5) for s, v in ((1, 5), (30, 300), (31, 70000), (59, 2**40))]
+    df = spark.createDataFrame(rows, "t string, v bigint").select(F.to_timestamp("t").alias("t"), "v")
+    df.write.parquet(f"{tmp_path}/in")
+    stream = width_counts(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "t", "v", "2 minutes", "0 seconds")
+    q = stream.writeStream.format("memory").queryName("width_counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    want = sorted(map(tuple, width_counts(df, "t", "v", "2 minutes").collect()))
+    assert sorted(map(tuple, spark.table("width_counts").collect())) == want and len(want) == 12 and sum(w[2] for w in want) == 20
