@@ -22,7 +22,7 @@ from tessella.functions import geo, matrix, names
 WINDOW_BITS = 14
 LONGEST_CODE = 56
 #: Bytes of text that are coded or decoded at once in a worker.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def code_table(docs: DataFrame, column: str = "text") -> dict[str, str]:
@@ -86,7 +86,7 @@ class _Table:
         return [data[a : a + n] if b >= 0 else None for a, n, b in zip(begin.tolist(), size.tolist(), bits.tolist())]
 
     def decode(self, coded: list[bytes], counts: list[int]) -> list[str | None]:
-        """The texts of all codes. For every bit the place behind a code that begins there is looked up at once; 16 steps are then made as one.
+        """The texts of all codes. For every bit the place behind a code that begins there is looked up at once; 32 steps are then made as one.
 
         Bits where no code begins stay where they are, which the last step of a text tells.
         """
@@ -111,23 +111,23 @@ class _Table:
             place = np.searchsorted(self.left, value, side="right") - 1
             found = (place >= 0) & (value - self.left[place] < np.uint64(1) << (LONGEST_CODE - self.lengths[place]).astype(np.uint64))
             reach[far[found]], symbol[far[found]] = self.lengths[place[found]], self.points[place[found]]
-        jump = np.arange(len(reach), dtype=np.int32) + reach
-        jump = np.minimum(jump, len(reach) - 1)
-        one, stride = jump, 1
+        one = np.arange(len(reach), dtype=np.intp)
+        one += reach
+        np.minimum(one, len(reach) - 1, out=one)
+        jump, stride = one, 1
         if sum(counts) >= 256:
-            for _ in range(4):
-                jump, stride = jump[jump], 2 * stride
-        jumps = jump.tolist()
-        heads, texts = [], []
+            for _ in range(5):
+                jump, stride = jump.take(jump), 2 * stride
+        step, heads = jump.item, []
         for p, n in zip((8 * begin).tolist(), counts):
             for _ in range(-(-n // stride)):
                 heads.append(p)
-                p = jumps[p]
-        steps = np.empty((len(heads), stride), dtype=np.int32)
-        at = np.array(heads, dtype=np.int32)
+                p = step(p)
+        steps, texts = np.empty((len(heads), stride), dtype=np.intp), []
+        at = np.array(heads, dtype=np.intp)
         for k in range(stride):
             steps[:, k] = at
-            at = one[at]
+            at = one.take(at)
         row = 0
         steps = steps.reshape(-1)
         for a, size, n in zip((8 * begin).tolist(), sizes.tolist(), counts):
