@@ -265,6 +265,39 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch):
     assert found == near_by_brute_force(rows)
 
 
+def test_near_duplicates_of_a_whole_table(spark):
+    """Every link of the 10,000 documents of sf0.1, by an exact join of prefixes, must be in the components, and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    members = collections.defaultdict(list)
+    for i, t in texts.items():
+        members[frozenset(shingles(t))].append(i)
+    members.pop(frozenset(), None)
+    sets, often = sorted(members, key=len), collections.Counter(x for s in members for x in s)
+    up, holders, links = list(range(len(sets))), collections.defaultdict(list), 0
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, s in enumerate(sets):
+        near = set()
+        for x in sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-75 * len(s) // 100) + 1]:
+            near.update(j for j in holders[x] if 100 * len(sets[j]) >= 75 * len(s))
+            holders[x].append(k)
+        for j in near:
+            if 100 * len(s & sets[j]) >= 75 * len(s | sets[j]):
+                links += 1
+                up[max(root(j), root(k))] = min(root(j), root(k))
+    whole = collections.defaultdict(list)
+    for k, s in enumerate(sets):
+        whole[root(k)] += members[s]
+    want = {i: i for i in texts} | {i: min(ids) for ids in whole.values() for i in ids}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()}
+    assert links > 100 and got == want
+
+
 def test_small_sets_that_are_linked_share_a_key():
     draw = random.Random(9)
     for _ in range(300):
