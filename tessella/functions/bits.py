@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -189,6 +190,32 @@ def from_big_endian(data: Column, signed: bool = False) -> Column:
     return F.when(unsigned >= span / 2, unsigned - span).otherwise(unsigned).cast("bigint")
 
 
-def width_class(value: Column) -> Column:
-    """log2 of the least of 8, 16, 32 and 64 bits that hold an unsigned number: 3 to 6; null for negative ones (E3 as a statistic)."""
-    return F.when(value < 0, F.lit(None)).when(value < 1 << 8, 3).when(value < 1 << 16, 4).when(value < 1 << 32, 5).when(value.isNotNull(), 6).cast("int")
+def width_class(value: Column, signed: bool = False) -> Column:
+    """log2 of the least of 8, 16, 32, 64 and 128 bits that hold a whole number: 3 to 7 (E3 as a statistic).
+
+    Unsigned numbers below 0 have none; signed ones are in two's complement. BIGINT and decimals are taken; null for null.
+    """
+    out = F.when(value < 0, F.lit(None)) if not signed else F.when(value.isNull(), F.lit(None))
+    for width in range(3, 8):
+        bits = 1 << width
+        if not signed:
+            fits = value < _whole(1 << bits) if width < 7 else value.isNotNull()
+        else:
+            fits = value.between(_whole(-(1 << bits - 1)), _whole((1 << bits - 1) - 1)) if width < 7 else value.isNotNull()
+        out = out.when(fits, width)
+    return out.cast("int")
+
+
+def _whole(number: int) -> Column:
+    """A whole number as BIGINT, or as a decimal where it needs more."""
+    return F.lit(number) if -(2**63) <= number < 2**63 else F.lit(Decimal(number))
+
+
+def sample_count(samples: Column) -> Column:
+    """Number of unpacked samples."""
+    return F.size(samples)
+
+
+def no_samples(samples: Column) -> Column:
+    """Whether there is no unpacked sample."""
+    return F.size(samples) == 0

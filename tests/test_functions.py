@@ -91,6 +91,11 @@ def test_widths_and_bytes(spark):
     edges = [0, 255, 256, 65535, 65536, 2**32 - 1, 2**32, -1]
     found = one(spark, *[bits.width_class(F.lit(e).cast("bigint")) for e in edges])
     assert found == (3, 3, 4, 4, 5, 5, 6, None)
+    signed = [0, 127, 128, -128, -129, 32767, 32768, -(2**31), 2**31, -(2**63), None]
+    assert one(spark, *[bits.width_class(F.lit(e).cast("bigint"), signed=True) for e in signed]) == (3, 3, 4, 3, 4, 4, 5, 5, 6, 6, None)
+    wide = [2**64 - 1, 2**64, 2**63 - 1, 2**63]
+    assert one(spark, *[bits.width_class(F.lit(str(e)).cast("decimal(38,0)"), signed=k > 1) for k, e in enumerate(wide)]) == (6, 7, 6, 7)
+    assert one(spark, bits.sample_count(longs([1, 2])), bits.no_samples(longs([]))) == (2, True)
     assert one(spark, bits.big_endian_hex(F.lit(100000), 4), bits.big_endian_hex(F.lit(-42), 1)) == ("000186A0", "D6")
     assert one(spark, bits.from_big_endian(F.unhex(F.lit("D6")), True), bits.from_big_endian(F.unhex(F.lit("D6")))) == (-42, 214)
 
