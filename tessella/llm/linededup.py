@@ -50,7 +50,7 @@ class LineRuns:
         if level == len(self.levels):
             self.levels.append([])
         path = scratch(self.spark, f"lines-l{level}")
-        name = path.rpartition("/")[2].replace("-", "_")
+        name = "tessella_" + path.rpartition("/")[2].replace("-", "_")
         run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         self.levels[level].append(name)
         if len(self.levels[level]) == self.fan_in:  # compaction
