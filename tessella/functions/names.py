@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
+import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,19 @@ def is_valid_name(name: Column) -> Column:
     return name.rlike(r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*\z") & ~name.contains("__") & ~name.endswith("_")
 
 
+def _by_letter() -> dict[str, list[tuple[tuple[str, str, str, str], str]]]:
+    """The rules of each letter: the characters allowed before it and behind it (none: all), and what is written."""
+    out: dict[str, list] = {}
+    for pattern, written in SOUNDS:
+        before, own, after, last = (t.strip("[]").replace(" ", EDGE).replace(".", "") for t in re.findall(r"\[[^\]]*\]|.", pattern))
+        for letter in own or string.ascii_uppercase:
+            out.setdefault(letter, []).append(((before, "", after, last), letter if written == "=" else written))
+    return out
+
+
 #: What stands beyond a text; where a text holds it, it is read as a blank, which is silent as well.
 EDGE = "\x01"
+_BY_LETTER = _by_letter()
 
 
 def phonetic_key(word: Column) -> Column:
@@ -43,11 +57,14 @@ def phonetic_key(word: Column) -> Column:
     padded = F.concat(F.lit(EDGE), upper, F.lit(2 * EDGE))
 
     def sound(i: Column) -> Column:
-        near, out = F.substr(padded, i, F.lit(4)), None
-        for pattern, written in SOUNDS:
-            value = F.substr(near, F.lit(2), F.lit(1)) if written == "=" else F.lit(written)
-            fits = near.rlike(f"(?s)^{pattern.replace(' ', EDGE)}$")
-            out = F.when(fits, value) if out is None else out.when(fits, value)
+        near = [F.substr(padded, i + k, F.lit(1)) for k in range(4)]
+        out = None
+        for letter, rules in _BY_LETTER.items():
+            value = None
+            for around, written in rules:
+                fits = functools.reduce(Column.__and__, [c.isin(*sorted(among)) for c, among in zip(near, around) if among], F.lit(True))
+                value = F.when(fits, written) if value is None else value.when(fits, written)
+            out = F.when(near[1] == letter, value.otherwise("")) if out is None else out.when(near[1] == letter, value.otherwise(""))
         return out.otherwise("")
 
     return F.when(F.length(upper) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(upper)), sound), "")).when(word.isNotNull(), "")
