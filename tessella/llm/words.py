@@ -61,10 +61,23 @@ def word_spans(data: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.nda
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+#: Bytes whose words are hashed at once, which takes some 60 bytes of memory for each.
+SEGMENT = 1 << 19
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial over random byte words, by prefix sums, then mixed with the length."""
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64)
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, side="right")))
+        low = starts[i]
+        out[i:j] = _segment_hashes(data[low : ends[j - 1]], starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
+def _segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     powers = _power(_POWERS, _BASE, np.arange(len(data))) if len(data) > _BLOCK else _POWERS[: len(data)]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * powers, out=sums[1:])
@@ -108,7 +121,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def text_blocks(texts: list[str], size: int = 8 << 20):
+def text_blocks(texts: list[str], size: int = 2 << 20):
     """Runs of texts of about `size` bytes together; a longer text comes alone."""
     block, held = [], 0
     for text in texts:
