@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Bytes of payload in a block, blocks that are transformed at once, and bytes of media whose tensors are held at once.
+#: Bytes of payload in a block, blocks that are transformed at once, and bytes of texts or media that are coded or whose tensors are held at once.
 UNIT = 64
 CHUNK_BLOCKS = 1 << 14
-READ_BYTES = 4 << 20
+READ_BYTES = 1 << 20
 #: Zigzag position of each coefficient in natural order, by the diagonal rule.
 _CELLS = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))
 ZIGZAG = np.array([8 * r + c for r, c in _CELLS])
@@ -423,7 +423,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             begin, held = 0, 0
             for end in range(1, len(texts) + 1):
                 held += len(texts[end - 1])
-                if held >= 4 << 20 or end == len(texts):
+                if held >= READ_BYTES or end == len(texts):
                     own = texts[begin:end]
                     media = encode_payloads([t + bytes(max(UNIT, -(-len(t) // UNIT) * UNIT) - len(t)) for t in own])
                     yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.array([len(t) for t in own], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])

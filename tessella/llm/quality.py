@@ -17,7 +17,7 @@ from tessella.llm.words import word_hashes, word_spans
 #: Labelled documents that the field is fitted on, at most.
 SAMPLE_DOCS = 4_000
 #: Bytes of text whose features are made at once in a worker, and bytes that a line counts besides; a larger text is taken alone.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 LINE_BYTES = 256
 #: Lines whose own features are held at once, and lines beyond which a document's chain is walked by itself.
 CHUNK_LINES = 1 << 15
@@ -77,10 +77,12 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     lines = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
     own, length = _own_features(texts)
     first, last = _edges(lines)
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    before[1:], after[:-1] = own[:-1], own[1:]
-    before[first], after[last] = 0, 0
-    return np.column_stack([own, before, after, first, last, np.ones(len(own))]), lines, length
+    x = np.zeros((len(own), FEATURES))  # filled in place, as it is the largest thing that the driver holds
+    x[:, :OWN] = own
+    x[1:, OWN : 2 * OWN], x[:-1, 2 * OWN : 3 * OWN] = own[:-1], own[1:]
+    x[first, OWN : 2 * OWN], x[last, 2 * OWN : 3 * OWN] = 0, 0
+    x[:, -3], x[:, -2], x[:, -1] = first, last, 1
+    return x, lines, length
 
 
 def line_scores(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
