@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
 import random
-import re
 from collections.abc import Iterable
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessella.llm.common import WORD, park, word_count
 
@@ -161,15 +157,10 @@ def _node(level: int, seed: int, last: bool, cut_last: bool):
     return run
 
 
-@F.pandas_udf(T.StringType())
-def _first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
-    """Texts up to the end of their n-th word; null for null."""
-
-    def one(text: str | None, n: int) -> str | None:
-        ends = (m.end() for m in re.finditer(WORD, text or ""))
-        return None if text is None else text[: next(itertools.islice(ends, n - 1, None), 0) if n else 0]
-
-    return pd.Series([one(t, n) for t, n in zip(texts, words)], dtype=object)
+def first_words(text: Column, words: Column) -> Column:
+    """A text up to the end of its n-th word, with the white space before and between as it is."""
+    parts = F.split(text, f"(?<={WORD[:-1]})(?=[{WORD[2:-2]}])", -1)  # cut behind each word
+    return F.array_join(F.slice(parts, F.lit(1), words.cast("int")), "")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -179,7 +170,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     chosen = mix(docs.select(F.struct("*").alias("whole_row"), "doc_id", "text", "source"), payload=("whole_row",), carries_text=True, **options)
     rest = (F.col("taken") - F.col("size") * F.col("copies")).alias("rest")
-    parts = chosen.select("whole_row", "copies", rest).withColumn("start", _first_words(F.when(F.col("rest") > 0, F.col("whole_row.text")), F.col("rest")))
+    parts = chosen.select("whole_row", "copies", rest)
     pieces = F.concat(F.array_repeat(F.lit(False), F.col("copies")), F.when(F.col("rest") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    each = parts.select("whole_row", "start", F.explode(pieces).alias("cut"))
-    return each.select(F.when(F.col("cut"), F.col("whole_row").withField("text", F.col("start"))).otherwise(F.col("whole_row")).alias("r")).select("r.*")
+    each = parts.select("whole_row", "rest", F.explode(pieces).alias("cut"))
+    start = first_words(F.col("whole_row.text"), F.col("rest"))
+    return each.select(F.when(F.col("cut"), F.col("whole_row").withField("text", start)).otherwise(F.col("whole_row")).alias("r")).select("r.*")

@@ -6,7 +6,6 @@ import itertools
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -442,7 +441,8 @@ def test_mix_edge_cases(spark):
     assert mixing.mixed_documents(df).columns == ["doc_id", "text", "source", "copies"]
     with pytest.raises(ValueError, match="size"):
         mixing.mix(df.withColumn("size", F.lit(1)), payload=("doc_id", "size"))
-    assert mixing._first_words.func(pd.Series(["  a b\tc ", None, "a"]), pd.Series([2, 1, 0])).tolist() == ["  a b", None, ""]
+    cut = spark.createDataFrame([("  a b\tc ", 2), (None, 1), ("a", 1), ("a  é\n b ", 2), (" a", 5), ("w " * 50_000, 49_999)], "t string, n int").select(mixing.first_words(F.col("t"), F.col("n"))).collect()
+    assert [r[0] for r in cut] == ["  a b", None, "a", "a  é", " a", ("w " * 49_999)[:-1]]
     long = spark.createDataFrame([(1, "w " * 300_000, "s"), (2, "w", "s")], "doc_id bigint, text string, source string")
     assert {r["size"] for r in mixing.mix(long).collect()} == {300_000, 1}
     assert mixing.mix(df.limit(0)).count() == 0
