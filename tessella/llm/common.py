@@ -77,3 +77,10 @@ def word_count(text: Column) -> Column:
 def fold_ascii(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def texts_of(column, rows: int = 256):
+    """The texts of an Arrow column, null as empty, some rows at a time, so that a worker doesn't hold a whole batch twice."""
+    for i in range(0, len(column), rows):
+        for text in column.slice(i, rows).to_pylist():
+            yield text or ""

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import forget, park
+from tessella.llm.common import forget, park, texts_of
 from tessella.llm.graph import components
 from tessella.llm.words import mix64, shingle_sets, text_blocks
 
@@ -138,7 +138,7 @@ def sketches(docs: DataFrame, percent: int = 75) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for block in text_blocks([t or "" for t in batch.column(2).to_pylist()]):
+            for block in text_blocks(texts_of(batch.column(2))):
                 for s in shingle_sets(block):
                     if len(s):
                         small, keys = signature(*min_max(s))
@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     def sets(batches):
         for batch in batches:
-            made = [s.tobytes() for block in text_blocks([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]) for s in shingle_sets(block)]
+            made = [s.tobytes() for block in text_blocks(texts_of(batch.column(batch.num_columns - 1))) for s in shingle_sets(block)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
 
     # Only the sets of cluster members are written; all comparisons read these, so the texts are moved once.

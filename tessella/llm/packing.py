@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessella.llm.common import texts_of
 from tessella.llm.tokens import ids_cache
 
 #: Sequences that are filled together. A window leaves less than one sequence of padding.
@@ -96,8 +97,8 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, quadrati
 
         for batch in batches:
             kind = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = b"".join(cache.parts(text or "")) + end_id.to_bytes(4, "little")
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                ids = b"".join(cache.parts(text)) + end_id.to_bytes(4, "little")
                 tokens = len(ids) // 4
                 whole = tokens // size * size
                 rows = []

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.common import texts_of
 from tessella.llm.samples import fold_of, labelled_sample, logistic
 from tessella.llm.words import word_hashes, word_spans
 
@@ -276,7 +277,7 @@ def score_quality(docs: DataFrame, field: Field, folds: int = 4, held_out: int =
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                scores = np.concatenate([field.score(b) for b in blocks(t or "" for t in batch.column(at).to_pylist())])
+                scores = np.concatenate([field.score(b) for b in blocks(texts_of(batch.column(at)))])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32), pa.int32())], names=schema.names)
 
     return base.mapInArrow(run, schema)

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.common import texts_of
+
 #: Chunks longer than this many characters are encoded without being kept.
 LONGEST_KEPT = 64
 #: Entries that a worker keeps before it starts again with an empty second tier.
@@ -152,8 +154,8 @@ def frequent_chunks(docs: DataFrame, entries: int = FREQUENT_ENTRIES, by_task: i
     def count(batches):
         seen: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(c for c in (text or "").split(" ") if 0 < len(c) <= LONGEST_KEPT)
+            for text in texts_of(batch.column(0)):
+                seen.update(c for c in text.split(" ") if 0 < len(c) <= LONGEST_KEPT)
                 if len(seen) > 200_000:
                     seen = Counter(dict(heapq.nlargest(50_000, seen.items(), key=lambda x: x[1])))
         top = heapq.nlargest(by_task, seen.items(), key=lambda x: (x[1], x[0]))
@@ -182,10 +184,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, frequent: list[s
     def run(batches):
         cache = ChunkCache(encoder(path), len, shared.value, _MISSES.setdefault(("lengths", path), {}))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = [sum(cache.parts(t)) for t in texts]
+            sizes, counts = [], []
+            for text in texts_of(batch.column(1)):
+                sizes.append(len(text.encode()))
+                counts.append(sum(cache.parts(text)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.common import texts_of
 from tessella.llm.samples import fold_of, labelled_sample, logistic
 
 #: Labelled documents that the lexicon's weights are fitted on, at most.
@@ -247,7 +248,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, folds: int = 3, held_out:
     def run(batches):
         match = matcher(lexicon)
         for batch in batches:
-            scores = [match.score(t or "") for t in batch.column(at).to_pylist()]
+            scores = [match.score(t) for t in texts_of(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=schema.names)
 
     return base.mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 #: Bytes that part words: space and 9 to 13. In UTF-8 these occur only as themselves.
@@ -121,7 +123,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def text_blocks(texts: list[str], size: int = 2 << 20):
+def text_blocks(texts: Iterable[str], size: int = 2 << 20):
     """Runs of texts of about `size` bytes together; a longer text comes alone."""
     block, held = [], 0
     for text in texts:
