@@ -54,6 +54,15 @@ def park(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than two for each core, or one for each 10,000 of its rows where that is more.
+
+    For small rows that are parked: one file for each shuffle partition is thousands of tiny ones, and where Hadoop's native
+    library is missing a local file system starts a process for the mode of every file.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // 10_000)))
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes the parked tables that frames read, and which no later plan reads."""
     for frame in frames:
