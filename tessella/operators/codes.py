@@ -23,6 +23,8 @@ WINDOW_BITS = 14
 LONGEST_CODE = 56
 #: Bytes of text that are coded or decoded at once in a worker.
 BLOCK_BYTES = 1 << 18
+#: Bytes of codes that the decoder takes at once: a place for every bit of them is 2 MB.
+RUN_BYTES = 1 << 15
 
 
 def code_table(docs: DataFrame, column: str = "text") -> dict[str, str]:
@@ -86,6 +88,10 @@ class _Table:
         return [data[a : a + n] if b >= 0 else None for a, n, b in zip(begin.tolist(), size.tolist(), bits.tolist())]
 
     def decode(self, coded: list[bytes], counts: list[int]) -> list[str | None]:
+        """The texts of all codes, by runs of codes whose arrays stay in a core's cache."""
+        return _in_blocks(list(zip(coded, counts)), lambda x: len(x[0]), lambda run: self._decode(*zip(*run)), RUN_BYTES)
+
+    def _decode(self, coded: tuple[bytes, ...], counts: tuple[int, ...]) -> list[str | None]:
         """The texts of all codes. For every bit the place behind a code that begins there is looked up at once; 32 steps are then made as one.
 
         Bits where no code begins stay where they are, which the last step of a text tells.
@@ -139,12 +145,12 @@ class _Table:
         return texts
 
 
-def _in_blocks(items: list, size, run) -> list:
-    """Results of run over runs of items of about BLOCK_BYTES together; a larger item is taken alone. None stays None."""
+def _in_blocks(items: list, size, run, most: int = BLOCK_BYTES) -> list:
+    """Results of run over runs of items of about so many bytes together; a larger item is taken alone. None stays None."""
     out: list = [None] * len(items)
     block, held = [], 0
     for i, item in enumerate([*items, None]):
-        if block and (held >= BLOCK_BYTES or i == len(items)):
+        if block and (held >= most or i == len(items)):
             for k, found in zip(block, run([items[k] for k in block])):
                 out[k] = found
             block, held = [], 0

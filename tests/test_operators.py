@@ -196,6 +196,19 @@ def test_codec_is_fast():
     assert size / (middle - began) > 2.3 and size / (time.perf_counter() - middle) > 2.3  # megabytes a second of one core; the floor of the survey
 
 
+def test_many_texts_are_decoded_in_little_memory():
+    """Arrays of a place for every bit are made for a run of texts, not for all; a text longer than a run is one."""
+    import tracemalloc
+
+    own = codes._Table({"a": "0", "b": "10", "c": "110", "d": "111"})
+    texts = ["abcd" * 2_000] * 300 + ["", "dcba" * 20_000, ""] + ["cab" * i for i in range(300)]
+    coded = own.encode(texts)
+    tracemalloc.start()
+    assert own.decode(coded, list(map(len, texts))) == texts
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+
+
 def test_matrices_beyond_an_observer(spark):
     row = spark.createDataFrame([([2.0, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 8.0],)], "to_lms array<double>")
     found = codes.through(row, {"xyz": [1, 1, 0, 0, 1, 0, 0, 0, 1]}).select("to_xyz", "from_xyz", codes.is_identity(matrix.multiply(F.col("to_xyz"), F.col("from_xyz"))), codes.is_identity(F.col("to_xyz"))).first()
