@@ -16,13 +16,25 @@ def grouped_number(n: Column) -> Column:
     return F.regexp_replace(n.cast("string"), r"(?<=\d)(?=(\d{3})+$)", " ")
 
 
+def _in_units(n: Column, shift: int, places: int) -> Column:
+    """n / 2**shift with so many decimals. Ties go to the even digit, as printf and Rust round; format_string would take them up."""
+    scale, mask = 10**places, (1 << shift) - 1
+    scaled = n.bitwiseAND(mask) * scale
+    below, rest = F.shiftright(scaled, shift), scaled.bitwiseAND(mask)
+    half = 1 << shift - 1
+    up = (rest > half) | ((rest == half) & (below % 2 == 1))
+    total = F.shiftright(n, shift) * scale + below + up.cast("bigint")
+    return F.concat(F.call_function("div", total, F.lit(scale)).cast("string"), F.lit("."), F.lpad((total % scale).cast("string"), places, "0"))
+
+
 def byte_size(n: Column) -> Column:
     """A size in units of 1024 with four digits; below 1024 as it is."""
+    n = n.cast("bigint")
     out = F.concat(n.cast("string"), F.lit(" Bytes"))
     for i, unit in enumerate(UNITS, 1):
-        value = n / float(1 << 10 * i)
-        digits = F.when(value >= 100, F.format_string("%.1f", value)).when(value >= 10, F.format_string("%.2f", value)).otherwise(F.format_string("%.3f", value))
-        out = F.when(n >= 1 << 10 * i, F.concat(digits, F.lit(f" {unit}"))).otherwise(out)
+        one = 1 << 10 * i
+        digits = F.when(n >= 100 * one, _in_units(n, 10 * i, 1)).when(n >= 10 * one, _in_units(n, 10 * i, 2)).otherwise(_in_units(n, 10 * i, 3))
+        out = F.when(n >= one, F.concat(digits, F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

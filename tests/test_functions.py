@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.errors import PySparkException
@@ -189,6 +190,23 @@ def test_display(spark):
     assert one(spark, geo.display_position(F.lit(-33.5), F.lit(151.25)))[0] == "(33.500000°S, 151.250000°E)"
 
 
+def test_sizes_round_ties_to_even(spark):
+    draw = random.Random(5)
+    sizes = [806144, 783616, 349440, 347392, 1024 + 32, 1024 + 96, 10239, 10240, 102399, 2**20 - 1, 2**20 + 2**16, 5 * 2**50 + 2**46, 2**63 - 1, 1023, 0, -5000]
+    sizes += [(draw.randrange(1, 1000) << 10 * i) + draw.randrange(1, 16) * (1 << 10 * i - 4) for i in range(1, 5) for _ in range(50)]
+
+    def want(n):
+        i = min((n.bit_length() - 1) // 10, 5) if n >= 1024 else 0
+        exact = Fraction(n, 1 << 10 * i)
+        places = 1 if exact >= 100 else 2 if exact >= 10 else 3
+        whole = round(exact * 10**places)  # to even
+        return f"{n} Bytes" if not i else f"{whole // 10**places}.{whole % 10**places:0{places}d} {display.UNITS[i - 1]}"
+
+    found = spark.createDataFrame([(n,) for n in sizes], "n bigint").select("n", display.byte_size(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in found] == [want(r["n"]) for r in found]
+    assert want(806144) == "787.2 KB" and one(spark, display.byte_size(F.lit(None).cast("bigint")))[0] is None
+
+
 def test_values_by_kind(spark):
     show = display.format_value
     tensor = F.struct(longs([2, 1234]).alias("shape"), F.lit(b"abc").alias("data"))
