@@ -23,6 +23,8 @@ FIELDS = (
 GROUPS = {"raw": [f[0] for f in FIELDS[:9]], "camera": [f[0] for f in FIELDS[9:20]], "lens": [f[0] for f in FIELDS[20:]]}
 CFA_LETTERS = ("R", "G", "B", "C", "Y", "W", "E")
 HASH_ALGORITHMS = ("BLAKE3", "SHA-256", "SHA-512")
+#: Records whose rows of fields are sorted together by one task, on average.
+DEALT_RECORDS = 20_000
 
 
 def breaks_rule(value: Column, rule: str) -> Column:
@@ -55,6 +57,16 @@ def group(*fields: str) -> Column:
     return F.when(F.array_contains(F.array(*[F.col(f).isNotNull() for f in fields]), True), F.struct(*fields))
 
 
+def dealt(df: DataFrame, key: str, most: int = DEALT_RECORDS) -> DataFrame:
+    """df in partitions of about `most` records by key, and in one for each core at least.
+
+    from_fields and parse_raw_image sort a record's rows by its key, and a record makes as many rows as it has fields. Where
+    records are dealt before to_fields, no rows are exchanged behind it, and a task's sort doesn't grow with files or tables.
+    The records are counted when this is called.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // most)), key)
+
+
 def to_fields(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows (key, ordinal, name, value as text) of the columns that aren't null, in the order of `columns`; lists and structs as JSON."""
     text = {c: F.to_json(c) if df.schema[c].dataType.typeName() in ("array", "struct", "map") else F.col(c).cast("string") for c in columns}

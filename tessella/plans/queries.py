@@ -383,7 +383,7 @@ def capture_fields(spark, sf_dir):
 # The rows back as records.
 @query("SELECT p_partkey, p_brand AS brand, CASE WHEN p_size % 2 = 0 THEN p_size END AS size FROM part")
 def capture_parse(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("size"))
+    part = records.dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.col("p_brand").alias("brand"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("size"))
     return records.from_fields(records.to_fields(part, "p_partkey", ["brand", "size"]), "p_partkey", {"brand": "string", "size": "int"})
 
 
@@ -416,7 +416,7 @@ SELECT p_partkey, image, {', '.join(name for name, _, _ in records.FIELDS)}, lis
   SELECT p_partkey, printf('%03X%03X', p_size * 64, p_partkey % 4096) AS image, {', '.join(_record_column(name, kind, k) for k, (name, kind, _) in enumerate(records.FIELDS))} FROM part)
 """)
 def capture_record(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part = records.dealt(table(spark, sf_dir, "part"), "p_partkey")
     image = records.raw_image(12, F.array(F.lit(2).cast("bigint")), F.array((F.col("p_size") * 64).cast("bigint"), F.col("p_partkey")))
     full = part.select("p_partkey", image.alias("image"), *[F.when(F.col("p_partkey") % (k + 2) != 0, _record_value(kind, k)).alias(name) for k, (name, kind, _) in enumerate(records.FIELDS)])
     rows = records.to_fields(full, "p_partkey", ["image", *(name for name, _, _ in records.FIELDS)])

@@ -12,6 +12,7 @@ from tessella import __main__ as command_line
 from tessella import sources
 from tessella.functions import geo, matrix, names
 from tessella.operators import codes, integrity, lookup, records
+from tessella.plans.queries import QUERIES
 from tessella.streaming import width_counts, with_columns
 
 
@@ -105,6 +106,18 @@ def test_raw_image_there_and_back(spark):
     assert records.parse_raw_image(fields.filter("id = 1"), "id").count() == 1
 
 
+def test_records_are_dealt_before_their_fields(spark, tmp_path):
+    """However many records a file has, a task sorts the rows of a bounded number of them, and rows of fields aren't exchanged."""
+    spark.range(5_000).selectExpr("id", "id * 2 AS a", "IF(id % 3 = 0, NULL, 'x') AS b").coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = records.dealt(spark.read.parquet(str(tmp_path / "t")), "id", 500)
+    back = records.from_fields(records.to_fields(df, "id", ["a", "b"]), "id", {"a": "bigint", "b": "string"})
+    sizes = [r["n"] for r in back.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) == 10 and max(sizes) < 700 and back.filter("a = id * 2 AND (b IS NULL) = (id % 3 = 0)").count() == 5_000
+    for name in ("capture_record", "capture_parse"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate"), name
+
+
 def test_section_notes(spark):
     labels = spark.createDataFrame(
         [(1, 0, "a", 0, 4, 1, "e", "c", "c"), (1, 1, "b", 4, 4, 1, None, "a", None), (1, 2, "d", 8, 4, 1, "r", None, None)],
