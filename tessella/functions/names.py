@@ -5,12 +5,13 @@ from __future__ import annotations
 import functools
 import heapq
 import re
-import string
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # For each letter in its context (the letter before, itself, the two after it; a blank stands for what is
 # beyond the text), the first rule that matches gives the sounds that are written. "=" writes the letter itself.
@@ -32,42 +33,66 @@ def is_valid_name(name: Column) -> Column:
     return name.rlike(r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*\z") & ~name.contains("__") & ~name.endswith("_")
 
 
-def _by_letter() -> dict[str, list[tuple[tuple[str, str, str, str], str]]]:
-    """The rules of each letter: the characters allowed before it and behind it (none: all), and what is written."""
-    out: dict[str, list] = {}
-    for pattern, written in SOUNDS:
-        before, own, after, last = (t.strip("[]").replace(" ", EDGE).replace(".", "") for t in re.findall(r"\[[^\]]*\]|.", pattern))
-        for letter in own or string.ascii_uppercase:
-            out.setdefault(letter, []).append(((before, "", after, last), letter if written == "=" else written))
-    return out
-
-
-#: What stands beyond a text; where a text holds it, it is read as a blank, which is silent as well.
-EDGE = "\x01"
-_BY_LETTER = _by_letter()
+#: Numbers of letters A to Z are 0 to 25; then any other byte, and what stands beyond a text.
+_OTHER, _EDGE = 26, 27
+#: Bytes of texts whose sounds a worker looks up at once.
+SOUND_BYTES = 1 << 20
+
+
+@functools.cache
+def _sounds() -> tuple[np.ndarray, np.ndarray]:
+    """The number of each byte, and the two bytes (0: none) that a letter makes by the numbers of the one before it, itself and the two behind it."""
+    numbers = np.full(256, _OTHER, dtype=np.uint8)
+    numbers[ord("A") : ord("Z") + 1] = range(26)
+    table = np.zeros((28, 28, 28, 28, 2), dtype=np.uint8)
+    for pattern, written in reversed(SOUNDS):
+        around = [range(28) if t == "." else [_EDGE if c == " " else ord(c) - ord("A") for c in t.strip("[]")] for t in re.findall(r"\[[^\]]*\]|.", pattern)]
+        for own in around[1]:
+            text = chr(ord("A") + own) if written == "=" else written
+            table[np.ix_(around[0], [own], around[2], around[3])] = list(text.ljust(2, "\0").encode())
+    return numbers, table.reshape(-1, 2)
+
+
+def _sounds_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the sounds of upper-case texts that stand one behind the other, and how many each has. No rule looks through a character that isn't a letter, so bytes do for characters."""
+    numbers, table = _sounds()
+    own = numbers[data]
+    before, after, last = (np.full(len(own), _EDGE, dtype=np.uint8) for _ in range(3))
+    before[1:], after[:-1], last[:-2] = own[:-1], own[1:], own[2:]
+    sizes = np.diff(ends, prepend=0)
+    full, two = ends[sizes > 0], ends[sizes > 1]
+    before[(ends - sizes)[sizes > 0]] = after[full - 1] = last[full - 1] = _EDGE
+    last[two - 2] = _EDGE
+    at = ((before.astype(np.int32) * 28 + own) * 28 + after) * 28 + last
+    written = table[at]
+    counts = np.concatenate([[0], np.cumsum((written != 0).sum(axis=1))])
+    return written[written != 0], counts[ends] - counts[ends - sizes]
+
+
+@F.arrow_udf(T.StringType())
+def _sound_texts(texts: pa.Array) -> pa.Array:
+    texts = texts.cast(pa.large_string())
+    places = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+    parts, begin = [], 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(places, places[begin] + SOUND_BYTES, side="right")) - 1)
+        sounds, counts = _sounds_of(data[places[begin] : places[end]], places[begin + 1 : end + 1] - places[begin])
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        keys = pa.StringArray.from_buffers(end - begin, pa.py_buffer(offsets), pa.py_buffer(sounds))
+        parts.append(pc.if_else(texts.slice(begin, end - begin).is_valid(), keys, pa.scalar(None, pa.string())))
+        begin = end
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def phonetic_key(word: Column) -> Column:
     """The sounds of a text by SOUNDS (G10). It is upper-cased; characters without a rule are silent.
 
     A text is one unit: only its first letter has nothing before it and its last nothing behind it. A blank inside is a
-    character as any other, so of "A A" only the first vowel is written.
+    character as any other, so of "A A" only the first vowel is written. An Arrow pass: an expression would look at each
+    letter's rules one by one.
     """
-    upper = F.translate(F.upper(word), EDGE, " ")
-    padded = F.concat(F.lit(EDGE), upper, F.lit(2 * EDGE))
-
-    def sound(i: Column) -> Column:
-        near = [F.substr(padded, i + k, F.lit(1)) for k in range(4)]
-        out = None
-        for letter, rules in _BY_LETTER.items():
-            value = None
-            for around, written in rules:
-                fits = functools.reduce(Column.__and__, [c.isin(*sorted(among)) for c, among in zip(near, around) if among], F.lit(True))
-                value = F.when(fits, written) if value is None else value.when(fits, written)
-            out = F.when(near[1] == letter, value.otherwise("")) if out is None else out.when(near[1] == letter, value.otherwise(""))
-        return out.otherwise("")
-
-    return F.when(F.length(upper) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(upper)), sound), "")).when(word.isNotNull(), "")
+    return _sound_texts(F.upper(word))
 
 
 def edit_distance(a: Column, b: Column) -> Column:
