@@ -147,6 +147,10 @@ def compression_stats(text: Column, coded_bytes: Column) -> Column:
     return F.when(text.isNotNull() & size.isNotNull(), F.struct(*own, size.alias("coded_bytes"), saved.alias("saved_bytes"), percent.alias("saved_percent")))
 
 
+#: Texts of a batch that a worker reads at once, and characters that it counts at once.
+COUNTED_TEXTS, COUNTED_CHARS = 64, 1 << 20
+
+
 def char_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     """code (code point) and n for every character of a column.
 
@@ -158,10 +162,11 @@ def char_counts(docs: DataFrame, column: str = "text") -> DataFrame:
         total = np.zeros(0x110000, dtype=np.int64)
         for batch in batches:
             texts, held = [], 0
-            for text in [*batch.column(0).to_pylist(), None]:
-                texts.append(text or "")
-                held += len(texts[-1])
-                if held >= 1 << 22 or text is None and held:
+            for begin in range(0, batch.num_rows, COUNTED_TEXTS):
+                for text in batch.column(0).slice(begin, COUNTED_TEXTS).to_pylist():
+                    texts.append(text or "")
+                    held += len(texts[-1])
+                if held and (held >= COUNTED_CHARS or begin + COUNTED_TEXTS >= batch.num_rows):
                     seen = np.bincount(np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32))
                     total[: len(seen)] += seen
                     texts, held = [], 0

@@ -12,6 +12,8 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,15 +162,26 @@ def _in_blocks(items: list, size, run, most: int = BLOCK_BYTES) -> list:
     return out
 
 
+def _runs(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[pa.Array]:
+    """Slices of a column of texts or binaries of about so many bytes each, so that a worker holds a batch once, not also as objects and results."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + most, side="right")))
+        yield column.slice(begin, end - begin)
+        begin = end
+
+
 def coded_size(table: dict[str, str]):
     """A vectorised function text -> bytes that it takes in a code, without coding it (X1). The table is made once for each task."""
 
-    @F.pandas_udf("bigint")
-    def size(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.LongType())
+    def size(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _Table(table)
         for texts in batches:
-            found = _in_blocks(texts.tolist(), len, lambda t: own.sizes(t)[3].tolist())
-            yield pd.Series([None if n is None or n < 0 else -(-n // 8) for n in found], dtype="Int64")
+            for run in _runs(texts):
+                found = _in_blocks(run.to_pylist(), len, lambda t: own.sizes(t)[3].tolist())
+                yield pa.array([None if n is None or n < 0 else -(-n // 8) for n in found], pa.int64())
 
     return size
 
@@ -179,11 +192,12 @@ def encode_text(table: dict[str, str]):
     Null for null and for a text with a character that the table lacks. The table is made once for each task.
     """
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.BinaryType())
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = _Table(table)
         for texts in batches:
-            yield pd.Series(_in_blocks(texts.tolist(), len, own.encode), dtype=object)
+            for run in _runs(texts):
+                yield pa.array(_in_blocks(run.to_pylist(), len, own.encode), pa.binary())
 
     return encode
 
@@ -191,14 +205,17 @@ def encode_text(table: dict[str, str]):
 def decode_text(table: dict[str, str]):
     """A vectorised function (binary, characters) -> text, the inverse of encode_text; null where the bytes are too few."""
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.StringType())
+    def decode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         own = _Table(table)
         for data, counts in batches:
-            items = [None if raw is None or pd.isna(n) else (bytes(raw), int(n)) for raw, n in zip(data, counts)]
-            # more characters than bits are never there
-            items = [x if x is None or x[1] <= 8 * len(x[0]) else (b"", 1) for x in items]
-            yield pd.Series(_in_blocks(items, lambda x: len(x[0]), lambda some: own.decode(*map(list, zip(*some)))), dtype=object)
+            begin = 0
+            for run in _runs(data):
+                items = [None if raw is None or n is None else (raw, int(n)) for raw, n in zip(run.to_pylist(), counts.slice(begin, len(run)).to_pylist())]
+                begin += len(run)
+                # more characters than bits are never there
+                items = [x if x is None or x[1] <= 8 * len(x[0]) else (b"", 1) for x in items]
+                yield pa.array(_in_blocks(items, lambda x: len(x[0]), lambda some: own.decode(*map(list, zip(*some)))), pa.string())
 
     return decode
 

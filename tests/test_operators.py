@@ -5,6 +5,8 @@ import hashlib
 import random
 import time
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +224,28 @@ def test_many_texts_are_decoded_in_little_memory():
     tracemalloc.stop()
 
 
+def test_workers_hold_a_batch_of_texts_once():
+    """The codec's and the counts' functions read a batch by slices: beside it they hold little, however large it is."""
+    import tracemalloc
+
+    texts = pa.array(["abcd" * 1_000, None, "", "dc" * 500] * 2_500)
+    code = {"a": "0", "b": "10", "c": "110", "d": "111"}
+    tracemalloc.start()
+    coded, back, bits = [], [], []
+    for part in codes.encode_text(code).func(iter([texts])):
+        coded.append(part)
+    assert sum(map(len, coded)) == len(texts) and len(coded) > 10
+    whole = pa.concat_arrays(coded)
+    for part in codes.decode_text(code).func(iter([(whole, pc.utf8_length(texts))])):
+        back.append(part)
+    for part in codes.coded_size(code).func(iter([texts])):
+        bits.append(part)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 32 << 20
+    assert pa.concat_arrays(back).equals(texts) and pa.concat_arrays(bits).to_pylist() == [None if c is None else len(c) for c in whole.to_pylist()]
+
+
 def test_matrices_beyond_an_observer(spark):
     row = spark.createDataFrame([([2.0, 0.0, 0.0, 0.0, 4.0, 0.0, 0.0, 0.0, 8.0],)], "to_lms array<double>")
     found = codes.through(row, {"xyz": [1, 1, 0, 0, 1, 0, 0, 0, 1]}).select("to_xyz", "from_xyz", codes.is_identity(matrix.multiply(F.col("to_xyz"), F.col("from_xyz"))), codes.is_identity(F.col("to_xyz"))).first()
