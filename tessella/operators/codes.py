@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -300,16 +299,12 @@ def position_of(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"lat": np.degrees(np.arctan2(z, np.hypot(x, y))), "lon": np.degrees(np.arctan2(y, x)), "x": x, "y": y, "z": z})
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _track(lats: pd.Series, lons: pd.Series) -> pd.Series:
-    known = [i for i, v in enumerate(lats) if v is not None]
-    ends = np.cumsum([len(lats.iloc[i]) for i in known]).tolist()
-    flat = lambda s: np.concatenate([np.asarray(s.iloc[i], dtype=np.float64) for i in known] or [np.empty(0)])
-    codes = [None if c is pd.NA else c for c in _coded(*_sphere(flat(lats), flat(lons))).tolist()]
-    out: list[list | None] = [None] * len(lats)
-    for i, begin, end in zip(known, [0, *ends], ends):
-        out[i] = codes[begin:end]
-    return pd.Series(out, dtype=object)
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _track(lats: pa.Array, lons: pa.Array) -> pa.Array:
+    flat = lambda a: a.flatten().to_numpy(zero_copy_only=False)
+    codes = pa.array(_coded(*_sphere(flat(lats), flat(lons))), pa.int64())
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lats), 0).to_numpy(zero_copy_only=False))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), codes, mask=lats.is_null())
 
 
 def track_codes(track: Column) -> Column:
@@ -331,14 +326,21 @@ def to_words(number: Column, words: list[str], signed: bool = False) -> Column:
 
     signed: a BIGINT below 0 counts too, as position codes are; then all 64 bits, from -2**63 on, are written.
     """
-    base, most = len(words), 2**64 - 1 if signed else 2**63 - 1
-    listed = F.array(*[F.lit(w) for w in words])
-    number = number.cast("bigint")
-    if signed:
-        number = (number.cast("decimal(20,0)") + F.lit(Decimal(2**63))).cast("decimal(20,0)")
-    scaled = lambda k: number if not k else F.call_function("div", number, F.lit(Decimal(base**k) if signed else base**k))
-    digits = [number % base] + [scaled(k) % base for k in range(digits_needed(base, most) - 1)]
-    return F.when(number >= 0, F.concat_ws(" ", *[F.element_at(listed, d.cast("int") + 1) for d in digits]))
+    base, count = len(words), digits_needed(len(words), 2**64 - 1 if signed else 2**63 - 1)
+
+    @F.arrow_udf(T.StringType())
+    def write(numbers: pa.Array) -> pa.Array:
+        listed, known = pa.array(words, pa.string()), pc.fill_null(numbers.is_valid() if signed else pc.greater_equal(numbers, 0), False)
+        number = np.ascontiguousarray(pc.fill_null(numbers, 0).to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)
+        rest = number ^ np.uint64(2**63) if signed else number
+        digits = [rest % base]
+        for _ in range(count - 1):
+            rest, digit = np.divmod(rest, np.uint64(base))
+            digits.append(digit)
+        text = pc.binary_join_element_wise(*[listed.take(pa.array(d, pa.uint64())) for d in digits], " ")
+        return pc.if_else(known, text, pa.scalar(None, pa.string()))
+
+    return write(number.cast("bigint"))
 
 
 def from_words(words: list[str], signed: bool = False):
@@ -350,19 +352,37 @@ def from_words(words: list[str], signed: bool = False):
     base, most = len(words), 2**64 - 1 if signed else 2**63 - 1
     length, least = digits_needed(base, most), -(2**63) if signed else 0
 
-    @F.pandas_udf("bigint")
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        place = {w: i for i, w in reversed(list(enumerate(words)))}
+    place = {w: i for i, w in reversed(list(enumerate(words)))}
 
-        def one(text: str | None) -> int | None:
-            digits = [place.get(w) for w in text.lower().split()] if text is not None else []
-            if len(digits) != length or None in digits:
-                return None
-            number = sum(d * base**k for k, d in enumerate(digits[1:]))
-            return number + least if number <= most and number % base == digits[0] else None
+    def one(text: str | None) -> int | None:
+        digits = [place.get(w) for w in text.lower().split()] if text is not None else []
+        if len(digits) != length or None in digits:
+            return None
+        number = sum(d * base**k for k, d in enumerate(digits[1:]))
+        return number + least if number <= most and number % base == digits[0] else None
 
-        for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype="Int64")
+    @F.arrow_udf(T.LongType())
+    def read(texts: pa.Array) -> pa.Array:
+        # all texts in ASCII are read at once; others, and those with the blanks that only Python knows, one by one
+        plain = pc.fill_null(pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring_regex(texts, "[\x1c-\x1f]"))), False)
+        parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.if_else(plain, texts, ""))))
+        right = pc.equal(pc.list_value_length(parts), length).to_numpy(zero_copy_only=False)
+        own = [w for w in place if w.split() == [w]]
+        found = pc.index_in(parts.filter(pa.array(right)).flatten(), value_set=pa.array(own, pa.string())).to_numpy(zero_copy_only=False).reshape(-1, length)
+        listed = ~np.isnan(found.astype(np.float64)).any(axis=1)
+        digits = np.array([place[w] for w in own], dtype=np.uint64)[found[listed].astype(np.int64)]
+        number, fits = np.zeros(len(digits), dtype=np.uint64), np.ones(len(digits), dtype=bool)
+        for k in range(length - 1, 0, -1):
+            fits &= number <= (np.uint64(most) - digits[:, k]) // np.uint64(base)
+            number = number * np.uint64(base) + digits[:, k]
+        fits &= number % np.uint64(base) == digits[:, 0]
+        out, known = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=bool)
+        rows = np.flatnonzero(right)[listed][fits]
+        out[rows], known[rows] = ((number ^ np.uint64(2**63)) if signed else number)[fits].view(np.int64), True
+        for i in np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist():
+            value = one(texts[i].as_py())
+            out[i], known[i] = value or 0, value is not None
+        return pa.array(out, pa.int64(), mask=~known)
 
     return read
 

@@ -5,6 +5,7 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
@@ -140,6 +141,42 @@ def test_word_codes(spark):
     assert spark.range(1).select(codes.from_words(words)(F.lit(swapped)), codes.from_words(words)(F.lit("ash fox"))).first()[0] is None
 
 
+@pytest.mark.parametrize("signed", [False, True])
+def test_words_are_read_and_written_at_once_as_one_by_one(spark, signed):
+    """Texts of a batch give what the plain rules give for each: bounds, checks, blanks, capitals, words in other letters."""
+    words, draw = ["ash", "bay", "cod", "ärm", "elk", "ash"], random.Random(9)
+    base, low, most = len(words), -(2**63) if signed else 0, 2**64 - 1 if signed else 2**63 - 1
+    count = codes.digits_needed(base, most)
+    written = lambda n: " ".join(words[n // base**k % base] for k in (0, *range(count - 1)))
+
+    def plain(text):
+        digits = [words.index(w) if w in words else None for w in text.lower().split()] if text is not None else [None]
+        if len(digits) != count or None in digits:
+            return None
+        number = sum(d * base**k for k, d in enumerate(digits[1:]))
+        return number + low if number <= most and number % base == digits[0] else None
+
+    numbers = [0, 1, 5, 6, most, most - 1, 2**62, *(draw.randrange(most) for _ in range(200))]
+    texts = [*map(written, numbers), *(written(n).replace("ärm", "bay") for n in numbers), *(" ".join(["elk"] * k) for k in range(count + 2)), None, "", " ", "fox", written(7).upper(), "\t" + written(8).replace(" ", " \n "), written(9).replace(" ", "\x1c")]
+    texts += [" ".join(draw.choice(words[:5]) for _ in range(count)) for _ in range(300)]
+    texts += [t + " " for t in texts if t]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", codes.from_words(words, signed)("t").alias("n")).collect()
+    assert [r["n"] for r in rows] == [plain(r["t"]) for r in rows] and sum(r["n"] is not None for r in rows) > 300
+    rows = spark.createDataFrame([(n + low,) for n in numbers], "n bigint").select("n", codes.to_words(F.col("n"), words, signed).alias("w")).collect()
+    assert [r["w"] for r in rows] == [written(r["n"] - low) for r in rows]
+
+
+def test_tracks_and_words_take_no_row_by_row_pass():
+    """A hundred thousand positions: words, numbers and tracks each take a second or two at the most."""
+    n = 100_000
+    lat, lon = (pa.ListArray.from_arrays(pa.array(range(0, 2 * n + 1, 2), pa.int32()), pa.array(np.resize(np.linspace(-80, 80, 997), 2 * n))) for _ in range(2))
+    text = pa.array([" ".join(["ash"] * codes.digits_needed(3, 2**64 - 1))] * n)
+    began = time.perf_counter()
+    assert len(codes._track.func(lat, lon)) == n
+    assert codes.from_words(["ash", "bay", "cod"], True).func(text).to_pylist()[-1] == -(2**63)
+    assert time.perf_counter() - began < 2.5
+
+
 def test_word_codes_with_slips(spark):
     words = ["amber", "basil", "cedar", "dahlia", "fennel"]
     good = spark.createDataFrame([(n,) for n in (0, 7, 123456789, 2**62)], "n bigint").withColumn("w", codes.to_words(F.col("n"), words))
